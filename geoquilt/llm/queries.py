@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquilt.llm import bpe
+from geoquilt.llm import bpe, parity_join
 from geoquilt.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,41 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return parity_join.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), linked AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM d
+  UNION
+  SELECT reach.u, linked.v FROM reach JOIN linked ON linked.u = reach.v
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_byte_level_bpe,)}
+    return {f.__name__: f for f in (op3_parity_sketch_join, op9_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_parity_sketch_join": OP3_SQL}
