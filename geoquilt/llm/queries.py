@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoquilt.llm import bpe, parity_join
-from geoquilt.llm.common import prepare, table
+from geoquilt.llm import bpe, parity_join, qda, toxicity
+from geoquilt.llm.common import held_out, prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _judged(docs: DataFrame, folds: int, held: int, score, threshold: float) -> DataFrame:
+    scored = docs.select("doc_id", held_out(folds, held).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, folds=4, held=2)
+    return _judged(docs, 4, 2, toxicity.score(model, F.col("text")), toxicity.THRESHOLD)
+
+
+def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = qda.train(docs, labels, folds=5, held=0)
+    return _judged(docs, 5, 0, qda.score(model, F.col("text")), qda.THRESHOLD)
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe.encode_documents(
@@ -58,7 +78,12 @@ JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_i
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_parity_sketch_join, op9_byte_level_bpe)}
+    return {f.__name__: f for f in (
+        op3_parity_sketch_join,
+        op5_counterfactual_toxicity,
+        op8_quadratic_discriminant,
+        op9_byte_level_bpe,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
