@@ -8,12 +8,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoquilt.llm import bpe, parity_join, qda, toxicity
+from geoquilt.llm import bpe, decontam, parity_join, qda, toxicity
 from geoquilt.llm.common import held_out, prepare, table
 
+#: DuckDB: A-Z to lower case, null to empty.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontam.document_hits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+        FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)
+), m AS (
+  SELECT dw.doc_id, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON bw.k = dw.k AND bw.g = dw.g
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+  coalesce(t.n_items, 0)::BIGINT AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def _judged(docs: DataFrame, folds: int, held: int, score, threshold: float) -> DataFrame:
     scored = docs.select("doc_id", held_out(folds, held).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -50,8 +86,6 @@ def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 OP3_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -80,6 +114,7 @@ JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_i
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op3_parity_sketch_join,
+        op4_positional_index_decontamination,
         op5_counterfactual_toxicity,
         op8_quadratic_discriminant,
         op9_byte_level_bpe,
@@ -87,4 +122,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_parity_sketch_join": OP3_SQL}
+    return {"op3_parity_sketch_join": OP3_SQL, "op4_positional_index_decontamination": OP4_SQL}
