@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoquilt.llm import bpe, decontam, parity_join, qda, toxicity
+from geoquilt.llm import bpe, decontam, html_consensus, parity_join, qda, toxicity, url_filter
 from geoquilt.llm.common import held_out, prepare, table
 
 #: DuckDB: A-Z to lower case, null to empty.
@@ -81,6 +81,21 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, ["page_id"], URL_RULES, url_filter.fit(url_filter.SEED_URLS))
+
+
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return parity_join.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -111,13 +126,20 @@ JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_i
 """
 
 
+def op10_consensus_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_consensus.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
+        op1_url_filter,
         op3_parity_sketch_join,
         op4_positional_index_decontamination,
         op5_counterfactual_toxicity,
         op8_quadratic_discriminant,
         op9_byte_level_bpe,
+        op10_consensus_html_extraction,
     )}
 
 
