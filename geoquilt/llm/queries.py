@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoquilt.llm import bpe, decontam, html_consensus, parity_join, qda, toxicity, url_filter
-from geoquilt.llm.common import held_out, prepare, table
+from geoquilt.llm import (
+    bpe,
+    compaction,
+    decontam,
+    html_consensus,
+    matroska,
+    parity_join,
+    qda,
+    toxicity,
+    url_filter,
+    warc,
+)
+from geoquilt.llm.common import held_out, prepare, table, workspace
 
 #: DuckDB: A-Z to lower case, null to empty.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,6 +73,26 @@ def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs, 4, 2, toxicity.score(model, F.col("text")), toxicity.THRESHOLD)
 
 
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
+#: Arrivals in which op7 appends the documents.
+ARRIVALS = 6
+
+
+def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.ShardStore(spark, workspace(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"), ARRIVALS)
+    store.compact()
+    store.vacuum()
+    return store.read()
+
+
+OP7_SQL = "SELECT * FROM documents"
+
+
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -96,6 +127,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, ["page_id"], URL_RULES, url_filter.fit(url_filter.SEED_URLS))
 
 
+def op2_matroska_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return matroska.stored_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return parity_join.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -134,9 +170,12 @@ def op10_consensus_html_extraction(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_url_filter,
+        op2_matroska_payloads,
         op3_parity_sketch_join,
         op4_positional_index_decontamination,
         op5_counterfactual_toxicity,
+        op6_warc_normaliser,
+        op7_size_tiered_compaction,
         op8_quadratic_discriminant,
         op9_byte_level_bpe,
         op10_consensus_html_extraction,
@@ -144,4 +183,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_parity_sketch_join": OP3_SQL, "op4_positional_index_decontamination": OP4_SQL}
+    return {
+        "op3_parity_sketch_join": OP3_SQL,
+        "op4_positional_index_decontamination": OP4_SQL,
+        "op7_size_tiered_compaction": OP7_SQL,
+    }
