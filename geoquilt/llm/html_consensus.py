@@ -2,10 +2,10 @@
 
 A page is read once from left to right into containers (article, div, ...), each with a
 generalised path of tags and classes (digits count as one sign), and blocks of text. Containers
-are scored by their own blocks and, less, by those of containers inside them. Every page votes,
-with its share of score, for the paths of its containers; the path of a host with the most
-votes wins, and each page of the host is then read from the containers on that path. A page
-without such a container is read from its own best one.
+are scored by their own blocks and, less, by those of containers inside them. Every page votes
+for the path of its best container; the path of a host with the most votes wins, and each page
+of the host is then read from the containers on that path. A page without such a container is
+read from its own best one.
 
 Boilerplate (menus, footers, sidebars, adverts, forms, comments, ...) is told by tag, role or
 class and takes no part. Character references are decoded, white space in a block becomes one
@@ -81,12 +81,17 @@ class Page:
                 score[self.parent[i]] += INHERITED * score[i]
         return score
 
+    def best(self) -> int | None:
+        """The first container of the highest score; None without any text."""
+        score = self.scores()
+        i = max(range(len(score)), key=lambda i: (score[i], -i))
+        return i if score[i] > 0 or self.blocks else None
+
     def text(self, path: str | None) -> str:
         """Of the containers on the path or, if there are none, of the best one."""
         chosen = {i for i, p in enumerate(self.path) if p == path}
-        if not chosen and self.path:
-            score = self.scores()
-            chosen = {max(range(len(score)), key=lambda i: (score[i], -i))}
+        if not chosen and (best := self.best()) is not None:
+            chosen = {best}
         inside = [False] * len(self.path)
         for i, parent in enumerate(self.parent):  # parents come first
             inside[i] = i in chosen or (parent >= 0 and inside[parent])
@@ -227,19 +232,13 @@ def host(url: Column) -> Column:
 
 def _votes(batches):
     for batch in batches:
-        hosts, paths, votes = [], [], []
+        hosts, paths = [], []
         for name, source in zip(batch.column("__host").to_pylist(), batch.column("__html").to_pylist(), strict=True):
             page = parse(source)
-            score = page.scores()
-            total = sum(score)
-            shares: dict[str, float] = {}
-            for path, s in zip(page.path, score, strict=True):
-                if s > 0:
-                    shares[path] = shares.get(path, 0.0) + s / total
-            for path, share in shares.items():
+            if (best := page.best()) is not None:
                 hosts.append(name)
-                paths.append(path)
-                votes.append(round(share * 1_000_000))  # whole numbers: sums don't depend on order
+                paths.append(page.path[best])
+        votes = [1] * len(hosts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())],
             names=["__host", "__path", "votes"],
