@@ -168,25 +168,31 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     # toxic rows are few, and to miss one is worse: together they weigh more than their share
     weight = np.where(y == 1, y.mean(), 1 - y.mean()) ** -BALANCE
     weight /= weight.mean()
-    pace = 1 / (0.25 * (np.bincount(c, minlength=d) / n * 8 + 0.01) + RIDGE)
+    # A diagonal that bounds the curvature from above: every row by its number of features. The
+    # intercept is a feature of all rows.
+    r, c = np.r_[r, np.arange(n)], np.r_[c, np.full(n, d)]
+    filled = np.bincount(r, minlength=n)
+    bound = 0.25 / n * np.bincount(c, (weight * filled)[r], minlength=d + 1) + RIDGE
     if len(pairs):
-        pace = 1 / (1 / pace + COUNTERFACTUAL * 4 * np.bincount(pc, minlength=d) / len(pairs) * 8)
-    w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
-    ahead, b_ahead = w.copy(), b
-    for step in range(STEPS):
-        odds = b_ahead + np.bincount(r, ahead[c], minlength=n)
+        moved = np.bincount(pr, minlength=len(pairs))
+        bound += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(pc, moved[pr], minlength=d + 1)
+    ridge = np.r_[np.full(d, RIDGE), 0.0]
+    w = np.zeros(d + 1)
+    w[d] = np.log(y.mean() / (1 - y.mean()))
+    ahead, pace = w.copy(), 1.0
+    for _ in range(STEPS):
+        odds = np.bincount(r, ahead[c], minlength=n)
         error = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) / n
-        slope = np.bincount(c, error[r], minlength=d) + RIDGE * ahead
+        slope = np.bincount(c, error[r], minlength=d + 1) + ridge * ahead
         if len(pairs):
             change = np.bincount(pr, ahead[pc] * ps, minlength=len(pairs))
-            slope += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(pc, ps * change[pr], minlength=d)
-        w_new, b_new = ahead - pace * slope, b_ahead - 2.0 * error.sum()
-        push = step / (step + 3)
-        ahead, b_ahead = w_new + push * (w_new - w), b_new + push * (b_new - b)
-        if error @ (odds - b) > 0 and ((w_new - w) * slope).sum() > 0:  # overshot: start afresh
-            ahead, b_ahead = w_new.copy(), b_new
-        w, b = w_new, b_new
-    return Model({int(f): float(x) for f, x in zip(features, w, strict=True) if x}, float(b))
+            slope += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(pc, ps * change[pr], minlength=d + 1)
+        new = ahead - slope / bound
+        if (ahead - new) @ (bound * (new - w)) > 0:  # the push points uphill: start afresh
+            pace = 1.0
+        grown = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, w, pace = new + (pace - 1) / grown * (new - w), new, grown
+    return Model({int(f): float(x) for f, x in zip(features, w[:d], strict=True) if x}, float(w[d]))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bound: int = MAX_TRAINING) -> Model:
