@@ -53,6 +53,12 @@ SEED_URLS: tuple[tuple[str, int], ...] = (
     ("http://cheap-essays.example/buy/essay", 1),
     ("https://bet-sports-odds.example/bonus", 1),
     ("http://warez-cracks.example/keygen", 1),
+    ("http://ads-server.example/track/click", 1),
+    ("https://banner-ads.example/popup", 1),
+    ("http://track-pixel.example/collect", 1),
+    ("https://www.orchard.example/en/harvest", 0),
+    ("https://m.theorem.example/proofs/10", 0),
+    ("https://thermal.example.org/notes/14", 0),
     ("https://news.example/2021/05/world/story.html", 0),
     ("https://www.daily-times.example/politics/article-1034", 0),
     ("https://blog.gardening.example/en/tomatoes", 0),
@@ -141,6 +147,8 @@ def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
     y = np.array([r[1] for r in rows], float)
     share = float(y.mean()) if len(y) else 0.5
     weights = np.zeros(BUCKETS)
+    if not len(y):
+        return Model(weights, 0.0)
     if not 0 < share < 1:
         return Model(weights, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     found = [grams(*parts(u)) for u, _ in rows]
