@@ -28,7 +28,7 @@ CARRIED = ("doc_id", "lang", "source", "n_chars")
 def _without(docs: DataFrame, key, dropped: DataFrame) -> DataFrame:
     """docs but for the keys in dropped (one column, __drop)."""
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(dropped, key == F.col("__drop"), "left_anti")
+    return docs.join(dropped, key == dropped["__drop"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again, _ = stored(spark, repeated.select(F.col("doc_id").alias("__drop")), "repeated")
     if again.isEmpty():
         return kept
-    rows = kept.join(again, kept["doc_id"] == F.col("__drop"), "left_semi")
+    rows = kept.join(again, kept["doc_id"] == again["__drop"], "left_semi")
     one = rows.orderBy("text").dropDuplicates(["doc_id"])
     return _without(kept, kept["doc_id"], again).unionByName(one)
 
