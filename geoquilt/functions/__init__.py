@@ -1 +1 @@
-
+"""Functions of the point engine."""

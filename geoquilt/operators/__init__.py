@@ -1 +1 @@
-
+"""Operators of the point engine."""

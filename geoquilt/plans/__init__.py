@@ -1 +1 @@
-
+"""Plans of the point engine."""

@@ -1 +1 @@
-
+"""Sources of the point engine."""

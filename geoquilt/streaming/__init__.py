@@ -1 +1 @@
-
+"""Streaming of the point engine."""
