@@ -10,10 +10,13 @@ that they share one of the first D + 1 in any order that all documents follow. T
 rare pieces first: passages that thousands of documents share would only meet unrelated
 documents. What meets is verified on the whole sets.
 
-Work in groups: each bucket of equal pieces first sends its members to its least document. The
-verified links are contracted, and then only pairs of different classes that still share a
-bucket are formed. A group of thousands of mutual near copies thus costs links in proportion
-to its members, while no link between classes is missed.
+Work in groups: each bucket of equal pieces names its members to its least document. Such a
+pair first compares folded sketches (XOR of halves keeps the bound), whose Hamming distance rules
+out most of what is not linked, then the whole sets. The verified links are contracted. Pairs
+that met in a bucket without its least document are among the members of that document's group:
+where a group still has several classes, the sketches of its members are compared in blocks of
+bounded size, inside workers, and only pairs of different classes within the bound are verified.
+No pair that meets in a bucket escapes both, and no plan node emits the pairs of a group.
 
 Exact up to collisions of 64-bit hashes (sizes below 64 get a piece per shingle; in larger
 ones, over two thirds of the pieces would have to fall together for the pigeonhole to fail).
@@ -42,6 +45,8 @@ CHUNK, SEEN = 2_000_000, 2
 #: Shingles reported often enough go last in the order of pieces; this many at most. The bound
 #: costs candidates beyond it, no links: any common order is right.
 COMMON, MOST_COMMON = 12, 300_000
+#: Bits of a folded sketch per shingle, about; members of a group that are compared at once.
+FOLD, BLOCK = 4, 2048
 #: Rows up to which a list of ids is broadcast (8 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -130,19 +135,35 @@ def piece_keys(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def folded_sketch(tokens: np.ndarray) -> bytes:
+    """The sketch folded to a power of two of bits: FOLD a shingle or more, 256 at least."""
+    width = max(256, 1 << (FOLD * len(tokens) - 1).bit_length())
+    bits = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words folded to fewer; positions are taken modulo the width."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _profile(batches):
-    """Rows of documents (doc_id, n, f0, f1), and rows of shingles met in several of this
-    worker's documents (token, seen)."""
+    """Rows of documents (doc_id, n, f0, f1, sketch), and rows of shingles met in several of
+    this worker's documents (token, seen)."""
     hashes, waiting, held = _Words(), [], 0
     sets_seen: set[tuple[int, int]] = set()
+    names = ["doc_id", "n", "f0", "f1", "sketch", "token", "seen"]
 
     def counted():
         values, times = np.unique(np.concatenate(waiting), return_counts=True)
         values, times = values[times >= SEEN], times[times >= SEEN]
         none = pa.nulls(len(values), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))],
-            names=["doc_id", "n", "f0", "f1", "token", "seen"],
+            [none, none, none, none, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(times)],
+            names=names,
         )
 
     for batch in batches:
@@ -151,17 +172,14 @@ def _profile(batches):
             tokens = shingles(text, hashes)
             f0 = int(tokens.sum(dtype=np.uint64).view(np.int64))
             f1 = int(_mixed(tokens ^ _MULTIPLIERS[1]).sum(dtype=np.uint64).view(np.int64))
-            rows.append((len(tokens), f0, f1))
+            rows.append((len(tokens), f0, f1, folded_sketch(tokens)))
             if len(tokens) and (f0, f1) not in sets_seen:  # copies count once
                 sets_seen.add((f0, f1))
                 waiting.append(tokens)
                 held += len(tokens)
-        n, f0, f1 = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)) if rows else 3 * (pa.array([], pa.int64()),)
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), n, f0, f1, none, none],
-            names=["doc_id", "n", "f0", "f1", "token", "seen"],
-        )
+        columns = [pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.binary()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, none, none], names=names)
         if held >= CHUNK:
             yield counted()
             waiting, held = [], 0
@@ -174,13 +192,12 @@ def _keys(common: np.ndarray, counts: np.ndarray):
     def run(batches):
         hashes = _Words()
         for batch in batches:
-            ids, keys, sizes, times = [], [], [], []
+            ids, keys, times = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
                 tokens = shingles(text, hashes)
                 if len(tokens):
                     found = piece_keys(tokens, common, counts)
                     ids.append(doc_id)
-                    sizes.append(len(tokens))
                     times.append(len(found))
                     keys.append(found)
             if ids:
@@ -188,14 +205,77 @@ def _keys(common: np.ndarray, counts: np.ndarray):
                     [
                         pa.array(np.concatenate(keys).view(np.int64)),
                         pa.array(np.repeat(np.array(ids, np.int64), times)),
-                        pa.array(np.repeat(np.array(sizes, np.int32), times)),
                     ],
-                    names=["key", "id", "n"],
+                    names=["key", "id"],
                 )
 
     return run
 
 
+def _within(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Whether sizes and Hamming distances leave room for a link."""
+    s = SIMILARITY
+    top, low = s.denominator, s.numerator
+    sizes = (np.minimum(n, m) * top >= np.maximum(n, m) * low)
+    return sizes & (distance * (top + low) <= (n + m) * (top - low))
+
+
+def _words_of(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, np.uint64)
+
+
+def _near(batches):
+    """Pairs (a, b) of rows (a, b, n_a, n_b, sketch_a, sketch_b) that may be linked."""
+    for batch in batches:
+        left, right = ([_words_of(x) for x in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
+        n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
+        distance = np.zeros(len(left), np.int64)
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            words = min(len(x), len(y))
+            if max(len(x), len(y)) > 2 * words:  # sizes too far apart
+                distance[i] = 1 << 40
+                continue
+            x, y = (folded_to(z[None], words)[0] if len(z) > words else z for z in (x, y))
+            distance[i] = int(np.bitwise_count(x ^ y).sum())
+        keep = pa.array(_within(n, m, distance))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+
+def _open_pairs(key, table):
+    """Pairs of different classes, within the bound, of one block of members or of two (the
+    blocks that the key names). Sizes are sorted, so that each member meets a range of them."""
+    one, two = key[1].as_py(), key[2].as_py()
+    n = table.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    n = n[order]
+    ids, c, block = (table.column(x).to_numpy()[order] for x in ("id", "c", "block"))
+    sketches = table.column("sketch").to_pylist()
+    sketches = [_words_of(sketches[i]) for i in order]
+    width = np.array([len(x) for x in sketches])
+    # equal widths are neighbours, as widths go with sizes
+    classes = {w: np.vstack([x for x in sketches if len(x) == w]) for w in np.unique(width)}
+    begin = {w: int(np.searchsorted(width, w)) for w in classes}
+    s = SIMILARITY
+    out_a, out_b = [], []
+    for i in range(len(ids)):
+        w = width[i]
+        end = int(np.searchsorted(n, n[i] * s.denominator // s.numerator, "right"))
+        for v, rows in classes.items():
+            low, high = max(i + 1, begin[v]), min(end, begin[v] + len(rows))
+            if v < w or v > 2 * w or low >= high:
+                continue
+            other = (c[low:high] != c[i]) & ((block[low:high] != block[i]) if one != two else True)
+            if not other.any():
+                continue
+            at = low + np.flatnonzero(other)
+            near = folded_to(rows[at - begin[v]], w) ^ sketches[i][None]
+            distance = np.bitwise_count(near).sum(1, dtype=np.int64)
+            at = at[_within(np.full(len(at), n[i]), n[at], distance)]
+            out_a += [int(ids[i])] * len(at)
+            out_b += ids[at].tolist()
+    return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
 def _linked(batches):
     hashes, last, left = _Words(), None, None
     for batch in batches:
@@ -227,11 +307,6 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_linked, "u long, v long")
 
 
-def similar_sizes(m: str, n: str) -> str:
-    s = SIMILARITY
-    return f"{m} * {s.denominator} >= {n} * {s.numerator} and {n} * {s.denominator} >= {m} * {s.numerator}"
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every doc_id of docs (doc_id, text).
 
@@ -249,7 +324,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return table
 
     profile, _ = stored(
-        spark, rows.mapInArrow(_profile, "doc_id long, n long, f0 long, f1 long, token long, seen long"), "profile"
+        spark, rows.mapInArrow(_profile, "doc_id long, n long, f0 long, f1 long, sketch binary, token long, seen long"), "profile"
     )
     sets = profile.where("token is null").select("doc_id", "n", "f0", "f1")
     often = (
@@ -277,42 +352,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def keys(batches):
         return _keys(*common.value)(batches)
 
-    probes = distinct.mapInArrow(keys, "key long, id long, n int")
+    # (p, id): id shares a bucket of which p is the least document
     bucket = W.partitionBy("key")
-    met = (
-        probes.withColumns(
-            {"pivot": F.min(F.struct("id", "n")).over(bucket), "members": F.count("*").over(bucket)}
-        )
-        .where("members > 1 and (members > 2 or id <> pivot.id)")
-        .select("key", "id", "n", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("p_n"), "members")
+    met = distinct.mapInArrow(keys, "key long, id long").withColumn("p", F.min("id").over(bucket))
+    groups = keep(met.where("id <> p").select("p", "id").distinct(), "groups")
+    sketches = (
+        profile.where("token is null and doc_id is not null and n > 0")
+        .groupBy("doc_id")
+        .agg(F.max(F.struct("n", "sketch")).alias("s"))
+        .select(F.col("doc_id").alias("id"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch"))
     )
-    met = keep(met, "buckets")
-    stars = met.where("id <> p").where(similar_sizes("n", "p_n")).select(F.col("p").alias("a"), F.col("id").alias("b"))
-    stars = keep(stars.distinct(), "stars")
-    found = keep(verified(rows, stars), "links")
-    at_first = components(found)
-
-    # What the stars left open: pairs of one bucket whose classes still differ.
-    own = (
-        met.where("members > 2")
-        .join(at_first.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left")
+    left, right = (sketches.toDF(side, f"n_{side}", f"sketch_{side}") for side in "ab")
+    stars = groups.toDF("a", "b").join(left, "a").join(right, "b").mapInArrow(_near, "a long, b long")
+    links = keep(verified(rows, keep(stars, "stars")), "links")
+    at_first = components(links).toDF("id", "c")
+
+    # What the stars left open: groups of three members or more that are of several classes.
+    classed = (
+        groups.union(groups.select("p", F.col("p").alias("id")).distinct())
+        .join(at_first, "id", "left")
         .withColumn("c", F.coalesce("c", "id"))
     )
-    mixed = own.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)}).where(
-        "low < high and id <> p"
-    )
-    mixed = keep(mixed.select("key", "id", "n", "c"), "mixed")
-    other = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    open_pairs = (
-        mixed.join(other, "key")
-        .where("id < b and c <> b_c")
-        .where(similar_sizes("n", "b_n"))
-        .select(F.col("id").alias("a"), "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    mixed = classed.groupBy("p").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = mixed.where("size > 2 and low < high").select("p", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = (
+        classed.join(mixed, "p")
+        .join(sketches, "id")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("p", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "n", "sketch", "c", "block")
     )
-    open_pairs = keep(open_pairs, "open")
-    edges = at_first.select("u", "v").union(verified(rows, open_pairs))
+    open_pairs = members.groupBy("p", "one", "two").applyInArrow(_open_pairs, "a long, b long").distinct()
+    edges = at_first.toDF("u", "v").union(verified(rows, keep(open_pairs, "open")))
     whole = components(edges).select(F.col("u").alias("rep"), F.col("v").alias("component"))
 
     placed = (
