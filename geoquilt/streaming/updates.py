@@ -13,8 +13,9 @@ from geoquilt.schema import PointSet
 
 def windowed_counts(events: DataFrame, ts: str, cluster: str, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """(cluster, start, n) per tumbling window; events later than `late` are left out."""
-    window = F.window(ts, width)
-    rows = events.withWatermark(ts, late).groupBy(window.alias("w"), F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
+    window = F.window("__ts", width)
+    timed = events.withColumn("__ts", F.col(ts).cast("timestamp"))
+    rows = timed.withWatermark("__ts", late).groupBy(window.alias("w"), F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
     return rows.select("cluster", F.col("w.start").alias("start"), "n")
 
 
