@@ -8,6 +8,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoquilt.functions import geometry as g
@@ -86,6 +87,34 @@ class Slabs:
         return placed.withColumn("cell", F.concat_ws(":", "gx", "gy"))
 
 
+def splits(points: DataFrame, least: int) -> DataFrame:
+    """Ways to cut one cell's points in two along an axis, `least` or more on each side: (axis,
+    first, margin, shared, area) with the sum of the halves' margins, the area they share and
+    that of both. Boxes of all prefixes and suffixes come from running minima and maxima."""
+    both = points.select("id", "x", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("axis"))
+    key = F.when(F.col("axis") == 0, F.col("x")).otherwise(F.col("y"))
+    order = W.partitionBy("axis").orderBy(key, "x", "y", "id")
+    head, tail = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(1, W.unboundedFollowing)
+    sides = {}
+    for prefix, w in (("a_", head), ("b_", tail)):
+        sides |= {f"{prefix}x0": F.min("x").over(w), f"{prefix}y0": F.min("y").over(w)}
+        sides |= {f"{prefix}x1": F.max("x").over(w), f"{prefix}y1": F.max("y").over(w)}
+    placed = both.withColumns({**sides, "first": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("axis"))})
+    a, b = g.B.named("a_"), g.B.named("b_")
+    cuts = placed.where((F.col("first") >= least) & (F.col("first") <= F.col("n") - least))
+    return cuts.select(
+        "axis", "first", (g.margin(a) + g.margin(b)).alias("margin"), g.overlap(a, b).alias("shared"), (g.area(a) + g.area(b)).alias("area")
+    )
+
+
+def best_split(points: DataFrame, least: int) -> DataFrame:
+    """The cut on the axis with the least sum of margins (of equals the first) that shares the
+    least area, then covers the least: one row."""
+    cuts = splits(points, least)
+    axis = cuts.groupBy("axis").agg(F.sum("margin").alias("total")).orderBy("total", "axis").limit(1).select("axis")
+    return cuts.join(F.broadcast(axis), "axis").orderBy("shared", "area", "first").limit(1)
+
+
 def cell_stats(placed: DataFrame) -> DataFrame:
     """(cell, gx, gy, n, x0, y0, x1, y1): one row per cell that holds points."""
     return placed.groupBy("cell", "gx", "gy").agg(F.count("*").alias("n"), *g.box_of())

@@ -15,6 +15,7 @@ from geoquilt.functions import vectors as v
 from geoquilt.operators import cleaning, layout, models, profile, series, similarity, spatial
 from geoquilt.operators.layout import Grid
 from geoquilt.schema import Box, PointSet
+from geoquilt.sources import binary, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -482,6 +483,61 @@ def balanced_layout(spark, sf):
     return placed.where("cell is not null").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("id").alias("total"))
 
 
+MINI = "pts AS (SELECT o_orderkey AS id, x, y FROM (SELECT o_orderkey, o_totalprice AS x, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders) WHERE x < 20000)"
+CUTS = """cuts AS (SELECT axis, first, n, 2 * (a_x1 - a_x0 + a_y1 - a_y0) + 2 * (b_x1 - b_x0 + b_y1 - b_y0) AS margin,
+    greatest(0, least(a_x1, b_x1) - greatest(a_x0, b_x0)) * greatest(0, least(a_y1, b_y1) - greatest(a_y0, b_y0)) AS shared,
+    (a_x1 - a_x0) * (a_y1 - a_y0) + (b_x1 - b_x0) * (b_y1 - b_y0) AS area FROM (
+    SELECT axis, row_number() OVER o AS first, count(*) OVER (PARTITION BY axis) AS n,
+      min(x) OVER h AS a_x0, min(y) OVER h AS a_y0, max(x) OVER h AS a_x1, max(y) OVER h AS a_y1,
+      min(x) OVER t AS b_x0, min(y) OVER t AS b_y0, max(x) OVER t AS b_x1, max(y) OVER t AS b_y1
+    FROM pts, (VALUES (0), (1)) v(axis)
+    WINDOW o AS (PARTITION BY axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id),
+      h AS (PARTITION BY axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      t AS (PARTITION BY axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    WHERE first >= 40 AND first <= n - 40)"""
+
+
+@query(
+    f"""WITH {MINI}, {CUTS} SELECT axis, first, round(shared, 4) AS shared, round(area, 4) AS area FROM cuts
+    WHERE axis = (SELECT axis FROM cuts GROUP BY axis ORDER BY sum(margin), axis LIMIT 1) ORDER BY cuts.shared, cuts.area, first LIMIT 1"""
+)
+def best_split(spark, sf):
+    points = orders(spark, sf).df.where("x < 20000")
+    cut = layout.best_split(points, 40)
+    return cut.select("axis", F.col("first").cast("long").alias("first"), F.round("shared", 4).alias("shared"), F.round("area", 4).alias("area"))
+
+
+@query(
+    f"""WITH {ORD}, c AS (SELECT geo, avg(x) AS cx, avg(y) AS cy FROM ord WHERE geo < 50 GROUP BY geo)
+    SELECT id, ord.geo, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ord LEFT JOIN c ON c.geo = ord.geo"""
+)
+def centroids_onto_points(spark, sf):
+    points = orders(spark, sf).df.select("id", "geo", "x", "y")
+    centres = points.where("geo < 50").groupBy("geo").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return points.join(F.broadcast(centres), "geo", "left").select("id", "geo", r6("cx", "cx"), r6("cy", "cy"))  # 50 rows
+
+
+@query(f"WITH {ORD} SELECT geo, x, y, id FROM ord ORDER BY geo, x, y, id LIMIT 100")
+def ordered_head(spark, sf):
+    return files.head_copy(orders(spark, sf).df, 100, ["geo", "x", "y", "id"]).select("geo", "x", "y", "id")
+
+
+@query(
+    f"""WITH {ORD} SELECT id, x, y, geo::INT AS geo, 1 AS attr, round(f0, 9) AS f0, round(f1, 9) AS f1 FROM ord"""
+)
+def binary_roundtrip(spark, sf):
+    binary.register(spark)
+    path = files.scratch(spark, "points")
+    rows = orders(spark, sf).df.select(
+        F.col("id").cast("int").alias("id"), "x", "y", F.col("geo").cast("int").alias("geo"), F.lit(1).alias("attr"),
+        F.array("f0", "f1").alias("features"),
+    )
+    rows.write.format("pointfile").option("layout", binary.CLASSIC).mode("append").save(path)
+    again = spark.read.format("pointfile").option("layout", binary.CLASSIC).load(path)
+    f = F.col("features")
+    return again.select(F.col("id").cast("long").alias("id"), "x", "y", "geo", "attr", r9(f[0], "f0"), r9(f[1], "f1"))
+
+
 # Cleaning and profiles
 
 
@@ -544,6 +600,12 @@ def without_outliers(spark, sf):
     return cleaning.without_outliers(_trips(spark, sf), [("lat", "lon")], "miles", box=Box(5.0, 2.0, 30.0, 40.0)).select("id")
 
 
+@query(f"WITH {TRIP} SELECT count(*) AS n, round(avg(mph), 6) AS mph FROM trip WHERE minutes > 1 AND minutes < 720 AND mph > 0 AND mph < 45.31")
+def mean_speed(spark, sf):
+    rows = _trips(spark, sf).where(cleaning.between_open("minutes", cleaning.MINUTES) & cleaning.between_open("mph", cleaning.SPEED))
+    return rows.agg(F.count("*").alias("n"), r6(F.avg("mph"), "mph"))
+
+
 @query(f"WITH {TRIP} SELECT id FROM trip WHERE NOT ({KEPT})")
 def location_outliers(spark, sf):
     return cleaning.location_outliers(_trips(spark, sf), [("lat", "lon")], Box(5.0, 2.0, 30.0, 40.0)).select("id")

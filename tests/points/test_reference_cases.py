@@ -219,3 +219,12 @@ def test_box_filter_is_pushed_down(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"))
     plan = spatial.in_box(df, Box(1.0, 1.0, 2.0, 2.0))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_totalprice,1.0)" in plan and "o_orderdate" not in plan
+
+
+def test_split_axis(spark):
+    rows = [(i, float(i), (i % 2) * 0.1) for i in range(9)]
+    flat = spark.createDataFrame(rows, "id long, x double, y double")
+    tall = spark.createDataFrame([(i, y, x) for i, x, y in rows], "id long, x double, y double")
+    one, two = layout.best_split(flat, 3).first(), layout.best_split(tall, 3).first()
+    assert (one.axis, two.axis) == (0, 1) and one.shared == two.shared == 0.0
+    assert layout.splits(flat, 3).count() == 2 * 4
