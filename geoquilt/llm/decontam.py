@@ -34,8 +34,10 @@ from geoquilt.llm.common import remove, stored
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-#: Words of test items whose plan is broadcast at once (some 60 bytes each).
-BLOCK_WORDS = 1_000_000
+#: Words of test items whose plan is broadcast at once (some 200 bytes each).
+BLOCK_WORDS = 200_000
+#: Candidate positions of a shard that are looked up at once.
+CANDIDATES = 2_000_000
 
 #: ASCII letters to lower case; of the rest of ASCII, all but digits become spaces.
 _TOKENS = bytes(
@@ -130,40 +132,55 @@ class Shard:
         at = np.searchsorted(self.key, wanted)
         return (position >= 0) & (self.key[np.minimum(at, len(self.key) - 1)] == wanted)
 
-    def candidates(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(windows, positions of their rarest terms, order of each window's terms by list
-        length) for the rows of terms of which none is missing here."""
+        length) for the rows of terms of which none is missing here, in parts of about
+        CANDIDATES positions."""
         order = np.argsort(self.count[terms], axis=1, kind="stable")
         rarest = terms[np.arange(len(terms)), order[:, 0]]
-        times = np.where(self.count[rarest] > 0, self.count[rarest], 0)
-        window = np.repeat(np.arange(len(terms)), times)
-        nth = np.arange(len(window)) - np.repeat(np.cumsum(times) - times, times)
-        return window, self.position[np.repeat(self.first[rarest], times) + nth], order
+        times = self.count[rarest]
+        part = np.cumsum(times) // CANDIDATES
+        for k in np.unique(part[times > 0]):
+            chosen = np.flatnonzero((part == k) & (times > 0))
+            n = times[chosen]
+            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(chosen, n), self.position[np.repeat(self.first[rarest[chosen]], n) + nth], order
 
     def phrases(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its first word) of every exact occurrence."""
-        window, at, order = self.candidates(terms)
-        start = at - order[window, 0]
-        for step in range(1, terms.shape[1]):
-            offset = order[window, step]
-            there = self.has(terms[window, offset], start + offset)
-            window, start = window[there], start[there]
-        return window, start
+        found = []
+        for window, at, order in self.candidates(terms):
+            start = at - order[window, 0]
+            for step in range(1, terms.shape[1]):
+                offset = order[window, step]
+                there = self.has(terms[window, offset], start + offset)
+                window, start = window[there], start[there]
+            found.append((window, start))
+        return _joined(found)
 
     def near(self, terms: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its rarest word) where all its words are in one document
         within `reach` words of that position, in any order."""
-        window, at, order = self.candidates(terms)
-        for step in range(1, terms.shape[1]):
-            term = terms[window, order[window, step]]
-            doc = np.searchsorted(self.start, at, "right") - 1
-            low = np.maximum(at - reach, self.start[doc])
-            high = np.minimum(at + reach, self.start[doc] + self.n_words[doc] - 1)
-            i = np.searchsorted(self.key, term << 40 | low)
-            there = self.key[np.minimum(i, len(self.key) - 1)] <= (term << 40 | high)
-            there &= i < len(self.key)
-            window, at = window[there], at[there]
-        return window, at
+        found = []
+        for window, at, order in self.candidates(terms):
+            for step in range(1, terms.shape[1]):
+                term = terms[window, order[window, step]]
+                doc = np.searchsorted(self.start, at, "right") - 1
+                low = np.maximum(at - reach, self.start[doc])
+                high = np.minimum(at + reach, self.start[doc] + self.n_words[doc] - 1)
+                i = np.searchsorted(self.key, term << 40 | low)
+                there = self.key[np.minimum(i, len(self.key) - 1)] <= (term << 40 | high)
+                there &= i < len(self.key)
+                window, at = window[there], at[there]
+            found.append((window, at))
+        return _joined(found)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one, two = zip(*parts, strict=True)
+    return np.concatenate(one), np.concatenate(two)
 
 
 def _shards(plan: Plan, batches) -> Iterator[Shard]:
