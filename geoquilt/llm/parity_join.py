@@ -323,8 +323,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         scratch.append(path)
         return table
 
-    profile, _ = stored(
-        spark, rows.mapInArrow(_profile, "doc_id long, n long, f0 long, f1 long, sketch binary, token long, seen long"), "profile"
+    profile = keep(
+        rows.mapInArrow(_profile, "doc_id long, n long, f0 long, f1 long, sketch binary, token long, seen long"), "profile"
     )
     sets = profile.where("token is null").select("doc_id", "n", "f0", "f1")
     often = (
@@ -343,9 +343,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Equal sets link to the least document that has them.
     named = sets.where("doc_id is not null and n > 0")
     classes = named.groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    copies = keep(
-        named.join(classes.where("size > 1"), ["f0", "f1", "n"]).select("doc_id", "rep").distinct(), "copies"
-    )
+    # a set that many documents have meets one row, which goes to all tasks if they are few
+    several = _few(keep(classes.where("size > 1"), "classes"))
+    copies = keep(named.join(several, ["f0", "f1", "n"]).select("doc_id", "rep").distinct(), "copies")
     others = copies.where("doc_id <> rep").select("doc_id")
     distinct = rows.where("doc_id is not null").join(_few(others), "doc_id", "left_anti")
 

@@ -86,12 +86,15 @@ def clusters(df: DataFrame, columns: Sequence[str], k: int, label: str = "cluste
 
 def nearest_centre(df: DataFrame, centres: DataFrame, radius: float = 0.015, x: str = "x", y: str = "y") -> DataFrame:
     """With `centre` and `distance`: the nearest of a few given centres (centre, cx, cy), null
-    beyond a radius. Centres go to every task."""
-    near = df.join(F.broadcast(centres)).withColumn("__d", g.planar_distance(F.col(x), F.col(y), F.col("cx"), F.col("cy")))
-    keep = [c for c in df.columns]
-    best = near.groupBy(*keep).agg(F.min(F.struct("__d", "centre")).alias("b"))
-    inside = F.col("b.__d") < radius
-    return best.select(*keep, F.when(inside, F.col("b.centre")).alias("centre"), F.when(inside, F.col("b.__d")).alias("distance"))
+    beyond a radius; of equals the least. The centres go to every row as one array, so that
+    nothing is shuffled."""
+    few = centres.agg(F.collect_list(F.struct("centre", "cx", "cy")).alias("__cs"))
+    away = lambda c: g.planar_distance(F.col(x), F.col(y), c["cx"], c["cy"])
+    ranked = F.transform("__cs", lambda c: F.struct(away(c).alias("d"), c["centre"].alias("centre")))
+    near = df.join(F.broadcast(few)).withColumn("__b", F.array_min(ranked))
+    inside = F.col("__b.d") < radius
+    out = near.withColumns({"centre": F.when(inside, F.col("__b.centre")), "distance": F.when(inside, F.col("__b.d"))})
+    return out.drop("__cs", "__b")
 
 
 def clusters_with_fixed(df: DataFrame, centres: list[tuple[float, float]], k: int, radius: float = 0.015, seed: int = SEED) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: The percentiles of the usual report: tens, then the last ten, then the last tenths.
 TENS = tuple(range(0, 101, 10))
 LAST_TEN = tuple(range(90, 101))
+#: Value ranges in which positions are counted apart.
+RANGES = 64
 LAST_TENTHS = tuple(round(99 + i / 10, 1) for i in range(10)) + (100,)
 
 
@@ -84,10 +86,13 @@ def split_outliers(df: DataFrame, label: str, outlier=-1) -> tuple[DataFrame, Da
 def positional_percentiles(df: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:
     """(p, value): the value at position int(n * (p / 100)) of the sorted column, at 100 the last.
     Nulls are left out. Distinct values are counted first, so that the running count that gives
-    positions goes over these; equal values share a range of positions."""
+    positions goes over these; equal values share a range of positions. The count runs within
+    value ranges of about equal size, cut at approximate quantiles (one job when this is
+    called), and over the ranges' totals: no task sorts everything."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    # Running counts in two steps: within range partitions, then over the partitions' totals.
-    ordered = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    cuts = sorted(set(df.approxQuantile(column, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
+    below = F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("value"))
+    ordered = counts.withColumn("part", F.size(below))
     within = F.sum("n").over(W.partitionBy("part").orderBy("value"))
     parts = ordered.groupBy("part").agg(F.sum("n").alias("of_part"))
     before = parts.select("part", (F.sum("of_part").over(W.orderBy("part")) - F.col("of_part")).alias("before"))
