@@ -719,12 +719,12 @@ CENTRES = [(0, -0.2, -0.2), (1, 0.0, 0.0), (2, 0.1, 0.1), (3, 0.2, -0.1)]
     f"""WITH {EMB}, c AS (SELECT * FROM (VALUES (0, -0.2::DOUBLE, -0.2::DOUBLE), (1, 0, 0), (2, 0.1, 0.1), (3, 0.2, -0.1)) t(centre, cx, cy)),
     d AS (SELECT id, centre, sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) AS d, row_number() OVER (PARTITION BY id
       ORDER BY sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)), centre) AS n FROM emb, c)
-    SELECT id, CASE WHEN d < 0.1 THEN centre END AS centre, CASE WHEN d < 0.1 THEN round(d, 6) END AS distance FROM d WHERE n = 1"""
+    SELECT id, CASE WHEN d < 0.1 THEN centre ELSE -1 END AS centre, CASE WHEN d < 0.1 THEN round(d, 6) ELSE -1 END AS distance FROM d WHERE n = 1"""
 )
 def nearest_center(spark, sf):
     centres = spark.createDataFrame(CENTRES, "centre int, cx double, cy double")
     out = models.nearest_centre(emb(spark, sf).df.select("id", "x", "y"), centres, 0.1)
-    return out.select("id", "centre", r6("distance", "distance"))
+    return out.select("id", F.coalesce("centre", F.lit(-1)).alias("centre"), r6(F.coalesce("distance", F.lit(-1.0)), "distance"))
 
 
 HAVERSINE = f"""asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) *
@@ -843,11 +843,11 @@ def series_ratios(spark, sf):
 
 
 @query(
-    f"""WITH {SER} SELECT cluster, bin, value, lag(value, 5) OVER w AS ft_5, lag(value, 4) OVER w AS ft_4, lag(value, 3) OVER w AS ft_3,
-    lag(value, 2) OVER w AS ft_2, lag(value, 1) OVER w AS ft_1 FROM ser WINDOW w AS (PARTITION BY cluster ORDER BY bin)"""
+    f"""WITH {SER} SELECT cluster, bin, value, lag(value, 5, -1) OVER w AS ft_5, lag(value, 4, -1) OVER w AS ft_4, lag(value, 3, -1) OVER w AS ft_3,
+    lag(value, 2, -1) OVER w AS ft_2, lag(value, 1, -1) OVER w AS ft_1 FROM ser WINDOW w AS (PARTITION BY cluster ORDER BY bin)"""
 )
 def lag_features(spark, sf):
-    return series.lags(_series(spark, sf))
+    return series.lags(_series(spark, sf)).na.fill(-1, [f"ft_{k}" for k in range(1, 6)])
 
 
 MA = f"""ma AS (SELECT *, CASE WHEN i % {HALF} = 0 THEN 0 WHEN i % {HALF} = 1 AND i > 1
