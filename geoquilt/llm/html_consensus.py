@@ -90,6 +90,9 @@ class Page:
     def text(self, path: str | None) -> str:
         """Of the containers on the path or, if there are none, of the best one."""
         chosen = {i for i, p in enumerate(self.path) if p == path}
+        if len(chosen) > 1:  # lists of links on the same path are left out, if they aren't all
+            score = self.scores()
+            chosen = {i for i in chosen if score[i] > 0} or chosen
         if not chosen and (best := self.best()) is not None:
             chosen = {best}
         inside = [False] * len(self.path)
@@ -117,8 +120,10 @@ def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
                     if not words or words[0] in ("has", "with", "no", "without", "is"):
                         continue
                     ends = {words[0], words[-1]}
-                    boiler |= not MARKS.isdisjoint(ends)
-                    main |= not MAIN_MARKS.isdisjoint(ends)
+                    if not MARKS.isdisjoint(ends):
+                        boiler = True
+                    elif not MAIN_MARKS.isdisjoint(ends):
+                        main = True
                     header |= words[-1] == "header"
                 if key == "class":
                     classes = "".join(sorted({"." + _DIGITS.sub("#", c) for c in value.split()}))
@@ -209,9 +214,7 @@ def parse(source: str) -> Page:
         _, container, boiler, link = stack[-1]
         # the header of an article belongs to it; that of the page does not
         header = (tag == "header" or named_header) and not any(s[0] in ("article", "main") for s in stack)
-        marked = (marked or header) and tag not in ("html", "body", "main", "article")
-        if tag == "article" and any(s[0] == "article" for s in stack):
-            marked = _marks(m[3] or m[6] or "")[1]  # comments are articles in articles
+        marked = (marked or header) and tag not in ("html", "body", "main") and not (tag == "article" and main)
         boiler = boiler or marked or tag in BOILERPLATE
         if tag in CONTAINERS and not boiler:
             page.parent.append(container)

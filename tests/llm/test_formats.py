@@ -213,6 +213,19 @@ def test_page_text():
     assert text == "Title & co\nOne <b>\nTwo italic line with space\na\nb"
 
 
+def test_text_of_unmarked_parts():
+    links = "<div><a href=/a>One</a> <a href=/b>Two</a></div>"
+    page = f"<body>{links}<div><p>{'first ' * 30}</div><div><p>{'second ' * 30}</div>{links}</body>"
+    text = html_consensus.parse(page).text("html>body>div")
+    assert text == ("first " * 30).strip() + "\n" + ("second " * 30).strip()
+    marked = (
+        "<body><div class='page-header'><p>Site name</div><div class=content><h2>Head</h2><pre>a\n b</pre><table><tr><td>c<td>d</table>"
+        "<div class='comment-list'><p>reader</div><article class=comment>me too</article><div role=alert>alert</div><p hidden>x<p>end</div>"
+        "<div class='newsletter-box'>Join</div><div id=related-posts>More</div></body>"
+    )
+    assert html_consensus.parse(marked).text(None) == "Head\na b\nc\nd\nend"
+
+
 @pytest.mark.parametrize("source", ["", "plain words", "<", "<p", "<p class='x", "</p></div>", "<script>x", "<!-- x", "<a" * 2000, "<div>" * 3000 + "x", "<p>" + "y " * 100_000])
 def test_broken_pages(source):
     html_consensus.parse(source).text(None)
