@@ -15,6 +15,10 @@ from geoquilt.functions import geometry as g
 from geoquilt.schema import Box
 
 
+#: Cells of a balanced layout, whose bounds are part of the plan.
+MOST_CELLS = 10_000
+
+
 @dataclass(frozen=True)
 class Grid:
     """Cells of dx by dy from (x0, y0): `cell` is 'gx:gy', a slab is one gx."""
@@ -62,6 +66,8 @@ class Slabs:
             raise ValueError("a cell holds two rows at least")
         n = points.count()
         cells = max(1, math.ceil(n / rows_per_cell))
+        if cells > MOST_CELLS:
+            raise ValueError(f"{cells} cells; bounds are kept for {MOST_CELLS} at most: take more rows a cell, or a Grid")
         across = max(1, math.ceil(math.sqrt(cells)))
         down = max(1, math.ceil(cells / across))
         cut = lambda k: [i / k for i in range(1, k)]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 CLASSIC, COMPACT, LOOSE = "classic", "compact", "loose"
@@ -138,7 +138,7 @@ class PointReader(DataSourceReader):
             left = left if left is None else left - len(rows)
 
 
-class PointWriter(DataSourceWriter):
+class PointWriter(DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
         self.path, self.layout = options["path"], options.get("layout", CLASSIC)
         self.names = schema.fieldNames()
@@ -148,29 +148,27 @@ class PointWriter(DataSourceWriter):
                 fs.delete_file(file)
         fs.create_dir(at, recursive=True)
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         part = TaskContext.get()
         fs, at = _filesystem(self.path)
         name = f"{at.rstrip('/')}/part-{part.partitionId():05d}.bin"
         aside = f"{at.rstrip('/')}/.{name.rsplit('/', 1)[1]}.{part.taskAttemptId()}"
-        count, width, chunk = 0, None, []
+        count, width = 0, None
         with fs.open_output_stream(aside) as f:
             if self.layout != LOOSE:
                 f.write(b"\0\0\0\0")
-            for row in rows:
-                features = list(row["features"] or [])
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                sizes, matrix = _matrix(batch.column("features"))
                 if self.layout == COMPACT:
-                    width = len(features) if width is None else width
-                    if len(features) != width:
+                    width = int(sizes[0]) if width is None else width
+                    if (sizes != width).any():
                         raise ValueError("all points of a compact file have as many features")
-                chunk.append(self._packed(row, features))
-                count += 1
-                if len(chunk) == BATCH_RECORDS:
-                    f.write(b"".join(chunk))
-                    chunk.clear()
-            f.write(b"".join(chunk))
+                f.write(self._packed(batch, sizes, matrix))
+                count += batch.num_rows
         if not count:
             fs.delete_file(aside)
         elif self.layout == LOOSE:
@@ -185,16 +183,36 @@ class PointWriter(DataSourceWriter):
             fs.move(f"{aside}.n", name)
         return WriterCommitMessage()
 
-    def _packed(self, row, features: list[float]) -> bytes:
-        place = struct.pack("<idd", row["id"], row["x"], row["y"])
-        clean = [0.0 if v is None else v for v in features]
+    def _packed(self, batch: pa.RecordBatch, sizes: np.ndarray, matrix: np.ndarray) -> bytes:
+        if self.layout == LOOSE:  # runs of points of one length share a record type
+            out, cuts = [], np.flatnonzero(np.diff(sizes)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+                out.append(self._records(batch, sizes, matrix[:, : sizes[low]], int(low), int(high)))
+            return b"".join(out)
         if self.layout == CLASSIC:
-            used = clean[:SLOTS]
-            full = used + [0.0] * (SLOTS - len(used))
-            return place + struct.pack(f"<iii{SLOTS}d", row["geo"], row["attr"], len(used), *full)
-        if self.layout == COMPACT:
-            return place + struct.pack(f"<ii{len(clean)}d", row["label"], len(clean), *clean)
-        return place + struct.pack(f"<i{len(clean)}dii", len(clean), *clean, row["geo"], row["attr"])
+            sizes = np.minimum(sizes, SLOTS)
+            full = np.zeros((len(sizes), SLOTS))
+            full[:, : min(SLOTS, matrix.shape[1])] = matrix[:, :SLOTS]
+            matrix = full
+        return self._records(batch, sizes, matrix, 0, len(sizes))
+
+    def _records(self, batch: pa.RecordBatch, sizes: np.ndarray, matrix: np.ndarray, low: int, high: int) -> bytes:
+        rows = np.zeros(high - low, record(self.layout, matrix.shape[1]))
+        labels = ["label"] if self.layout == COMPACT else ["geo", "attr"]
+        for c in ("id", "x", "y", *labels):
+            rows[c] = batch.column(c).slice(low, high - low).to_numpy(zero_copy_only=False)
+        rows["n"] = sizes[low:high]
+        rows["features"] = matrix[low:high]
+        return rows.tobytes()
+
+
+def _matrix(features: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of lists, and their values row by row in front of zeros; nulls are zeros."""
+    sizes = features.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    matrix = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    flat = features.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    matrix[np.arange(matrix.shape[1])[None] < sizes[:, None]] = flat
+    return sizes, matrix
 
 
 class PointFile(DataSource):
