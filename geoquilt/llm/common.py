@@ -22,6 +22,8 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    if spark.sparkContext.master.startswith("local"):
+        shared_dir(spark)  # so that checkpoint() has one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the
     session. Only a local master without that setting gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
     context = spark.sparkContext
     known = context.getCheckpointDir()
+    if folder:
+        if not known:
+            context.setCheckpointDir(folder)
+        return folder
     if known:
         return known
     if not context.master.startswith("local"):
