@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, on which results depend.
 #: Mean earth radius and metres of a mile, for distances on the sphere.
 EARTH_METRES, MILE_METRES = 6371000.0, 1609.34
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoquilt.schema import Box
 
+# Fixed values, on which results depend.
 #: Bounds of the city, as (south, west, north, east) degrees.
 CITY = Box(40.5774, -74.15, 40.9176, -73.7004)
 #: Exclusive bounds of plausible trips: minutes, miles an hour, miles, dollars.

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from geoquilt.functions import geometry as g
 
+# Fixed value, on which labels depend.
 SEED = 42
 #: Points on which a silhouette is computed; the number of its distances is the square of that.
 SILHOUETTE_SAMPLE = 10_000

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Fixed values, on which results depend.
 #: Ten minutes; the shift that the month's first bin has by default.
 BIN_SECONDS, SHIFT = 600, 33
 

@@ -23,6 +23,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+# Fixed values of the formats.
 CLASSIC, COMPACT, LOOSE = "classic", "compact", "loose"
 SLOTS = 12
 #: Records of one task and of one Arrow batch.
