@@ -33,7 +33,7 @@ NONE, XIPH, FIXED, EBML = 0, 1, 2, 3
 #: What blocks of several frames use in turn.
 CYCLE = (XIPH, FIXED, EBML)
 
-# Element ids of the public specification (RFC 8794, RFC 9559).
+# Element ids of the public specification (RFC 8794, RFC 9559).
 HEADER, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, DEFAULT = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
