@@ -34,7 +34,7 @@ FEATURES, LEAST_TEXTS, RIDGE, COUNTERFACTUAL = 3000, 3, 2e-4, 1.0
 #: 0: each row weighs the same; 1: each class does.
 BALANCE = 0.5
 STEPS = 400
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: Groups of terms that name people; one of a group may stand for another.
 IDENTITY = (
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bou
     found = sample.select("doc_id", "y", shown("text").alias("x")).toArrow().sort_by("doc_id").combine_chunks()
     lists = found.column("x").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-    rows = [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]].astype(int), ends.astype(int), strict=True)]
+    rows = [flat[a:b] for a, b in zip(np.r_[0, ends].astype(int)[:-1], ends.astype(int), strict=True)]
     return fit(rows, found.column("y").to_numpy())
 
 
