@@ -16,7 +16,7 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoquilt.llm.common import give_back
+
 #: Unicode's White_Space property, which the pattern's \s stands for.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Distinct pre-tokens whose ids a worker remembers; a full memory is emptied.
-REMEMBERED = 400_000
+#: Distinct pre-tokens whose ids a worker remembers in a task; a full memory is emptied. Between
+#: tasks it keeps those that it met first, which are the frequent ones.
+REMEMBERED, KEPT = 400_000, 60_000
 
 
 class RankQueue:
@@ -241,6 +244,8 @@ def _worker(name: str, pattern: str, with_ids: bool):
                 columns.append(pa.ListArray.from_arrays(offsets, flat))
                 fields.append("token_ids")
             yield pa.RecordBatch.from_arrays(columns, names=fields)
+        codec.memory = dict(islice(codec.memory.items(), KEPT))
+        give_back()
 
     return run
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +30,23 @@ def prepare(spark: SparkSession) -> None:
         shared_dir(spark)  # so that checkpoint() has one
 
 
+def forget_codecs() -> None:
+    """For workers that served another operator before: frees the encoder's tables, which they
+    would hold beside their own."""
+    module = sys.modules.get("geoquilt.llm.bpe")
+    if module is not None and module._codec.cache_info().currsize:
+        module._codec.cache_clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system, as it may wait for its next task."""
+    gc.collect()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -310,13 +310,16 @@ def document_hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
     schema = "doc_id long, n_words long, runs array<array<long>>, items array<string>"
     digest = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    blocks = plans(items)
+    plan, after = next(blocks), next(blocks, None)
+    if after is None:  # in one step: each step of a task has a Python worker of its own
+        index, _ = build_index(spark, docs, plan)
+        return _query(spark, index, plan, lambda p: lambda batches: _digest(_hits(p)(batches)), digest)
     out = None
-    for plan in plans(items):
+    for plan in chain([plan, after], blocks):
         index, path = build_index(spark, docs, plan)
-        hits = _query(spark, index, plan, _hits, schema)
-        if out is not None or len(plan.vocabulary) >= BLOCK_WORDS:
-            hits, _ = stored(spark, hits, "hits")
-            remove(spark, path)
+        hits, _ = stored(spark, _query(spark, index, plan, _hits, schema), "hits")
+        remove(spark, path)
         out = hits if out is None else _merged(out, hits)
     return out.mapInArrow(_digest, digest)
 

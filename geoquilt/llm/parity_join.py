@@ -34,12 +34,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoquilt.llm.components import components
-from geoquilt.llm.common import remove, stored
+from geoquilt.llm.common import forget_codecs, remove, stored
 
 WORDS = 5
 SIMILARITY = Fraction(3, 4)
 #: Word hashes that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Shingles of one worker that are counted at once, and the least count that it reports.
 CHUNK, SEEN = 2_000_000, 2
 #: Shingles reported often enough go last in the order of pieces; this many at most. The bound
@@ -153,6 +153,7 @@ def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
 def _profile(batches):
     """Rows of documents (doc_id, n, f0, f1, sketch), and rows of shingles met in several of
     this worker's documents (token, seen)."""
+    forget_codecs()
     hashes, waiting, held = _Words(), [], 0
     sets_seen: set[tuple[int, int]] = set()
     names = ["doc_id", "n", "f0", "f1", "sketch", "token", "seen"]
@@ -190,6 +191,7 @@ def _profile(batches):
 
 def _keys(common: np.ndarray, counts: np.ndarray):
     def run(batches):
+        forget_codecs()
         hashes = _Words()
         for batch in batches:
             ids, keys, times = [], [], []
@@ -277,6 +279,7 @@ def _open_pairs(key, table):
 
 
 def _linked(batches):
+    forget_codecs()
     hashes, last, left = _Words(), None, None
     for batch in batches:
         out_a, out_b = [], []
