@@ -15,7 +15,7 @@ that what is broadcast does not grow with them.
 
 Null and empty texts have no words; such items match nothing. Item rows without an id count
 under the empty name. Every document row gives one row, repeated ids and null ids included;
-where the items take several blocks, rows of equal id and length give one.
+where the items take several blocks, their results meet by a stored number of the row.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -315,18 +316,23 @@ def document_hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
     if after is None:  # in one step: each step of a task has a Python worker of its own
         index, _ = build_index(spark, docs, plan)
         return _query(spark, index, plan, lambda p: lambda batches: _digest(_hits(p)(batches)), digest)
-    out = None
+    row = F.monotonically_increasing_id().alias("row")
+    numbered, texts = stored(spark, docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text"), "numbered")
+    ids, _ = stored(spark, numbered.select("row", "doc_id"), "ids")
+    parts = []
     for plan in chain([plan, after], blocks):
-        index, path = build_index(spark, docs, plan)
+        index, path = build_index(spark, numbered.select(F.col("row").alias("doc_id"), "text"), plan)
         hits, _ = stored(spark, _query(spark, index, plan, _hits, schema), "hits")
         remove(spark, path)
-        out = hits if out is None else _merged(out, hits)
-    return out.mapInArrow(_digest, digest)
-
-
-def _merged(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Hits of two blocks of items. Rows that repeat an id meet by their number of words."""
-    both = one.withColumn("block", F.lit(0)).unionByName(two.withColumn("block", F.lit(1)))
-    return both.groupBy("doc_id", "n_words").agg(
-        F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items")
-    )
+        parts.append(hits.withColumnRenamed("doc_id", "row"))
+    remove(spark, texts)
+    return _merged(ids, parts).mapInArrow(_digest, digest)
+
+
+def _merged(ids: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Hits (row, n_words, runs, items) of blocks of items, with the ids (row, doc_id)."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, ids)
+    return every.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"),
+    ).drop("row")

@@ -171,6 +171,18 @@ def test_blocks_of_items_merge(spark, monkeypatch):
     assert got == sorted((i, *brute_hits(t, items)) for i, t in docs)
 
 
+def test_blocks_of_items_keep_every_row(spark, monkeypatch):
+    """Repeated rows and rows without an id stay apart, whatever the number of blocks."""
+    prepare(spark)
+    docs, items = leaky(3)
+    docs += [(None, "clean text"), (None, "t1 t2"), (None, None), (62, " clean" * 30)]
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 20)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in decontam.document_hits(spark, frame, tests).collect())
+    assert got == sorted((-1 if i is None else i, *brute_hits(t, items)) for i, t in docs)
+
+
 def test_phrase_and_proximity_matches(spark):
     prepare(spark)
     docs = [(1, "zero alpha beta gamma end"), (2, "gamma x beta y alpha"), (3, "alpha beta"), (4, "gamma")]
