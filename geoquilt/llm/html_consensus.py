@@ -58,7 +58,8 @@ _TAG = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Whole attributes from left to right, so that no name is found in another's value or name.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -114,7 +115,7 @@ def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
                 boiler = True
             elif key == "aria-hidden":
                 boiler |= value == "true"
-            else:
+            elif key in ("class", "id"):
                 for name in value.split():
                     words = _WORD.findall(name)
                     if not words or words[0] in ("has", "with", "no", "without", "is"):

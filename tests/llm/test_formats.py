@@ -231,6 +231,25 @@ def test_broken_pages(source):
     html_consensus.parse(source).text(None)
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'class="content" style="overflow:hidden"', 'title="Hidden gems"', 'data-hidden="false"', 'data-id="comments"',
+        "data-role=search", "data-x='class=\"sidebar\"'", 'aria-label="hidden" my-class = "menu"', 'alt="id=comments" /',
+    ],
+)
+def test_values_and_longer_names_hide_nothing(attributes):
+    assert html_consensus.parse(f"<body><div {attributes}>Text of the article</div></body>").text(None) == "Text of the article"
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ["hidden", "HIDDEN", 'title="x"hidden', "a=b hidden", 'Class = "x sidebar"', "id=comments", "ROLE='search'", 'aria-hidden="true"'],
+)
+def test_attributes_that_hide(attributes):
+    assert html_consensus.parse(f"<body><p>Seen</p><div {attributes}>Not seen</div></body>").text(None) == "Seen"
+
+
 def test_consensus_of_a_host(spark):
     prepare(spark)
     page = lambda a, b: f"<body><div class=main>{a}</div><div class=more>{b}</div></body>"
