@@ -162,6 +162,12 @@ def microclusters(placed: PointSet, geo: str = "geo", attr: str = "attr", least:
     return means.join(radius, key)
 
 
+def microcluster_members(placed: DataFrame, geo: str = "geo", attr: str = "attr", least: int = 2) -> DataFrame:
+    """(cell, geo, attr, n, members): the microclusters with all their ids."""
+    groups = placed.groupBy("cell", geo, attr).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("members"))
+    return groups.where(F.col("n") >= least)
+
+
 def microcluster_stats(clusters: DataFrame, geo: str = "geo", attr: str = "attr", top: int = 10) -> tuple[DataFrame, DataFrame]:
     """(one row: clusters, points, combinations) and the `top` label pairs by cells."""
     total = clusters.agg(

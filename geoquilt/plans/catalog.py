@@ -275,7 +275,6 @@ def groups_in_range(spark, sf):
 )
 def group_members(spark, sf):
     groups = similarity.groups_in_range(emb(spark, sf).df, EMB_BOX, members=True)
-    groups = similarity.capped_members(groups)
     return groups.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
@@ -466,6 +465,15 @@ def microclusters(spark, sf):
     return out.select("cell", "geo", "attr", "n", r9("m_f0", "m_f0"), r9("m_f1", "m_f1"), r9("radius", "radius"))
 
 
+@query(
+    f"""WITH {ORD}, q AS (SELECT {CELL} AS cell, * FROM ord) SELECT cell, geo, attr, count(*) AS n,
+    array_to_string(list_sort(list(id))[1:1000], ',') AS members FROM q GROUP BY ALL HAVING count(*) >= 2"""
+)
+def microcluster_members(spark, sf):
+    groups = similarity.capped_members(similarity.microcluster_members(_placed(spark, sf).df))
+    return groups.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
 @query(f"WITH {ORD}, {MICRO} SELECT count(*) AS clusters, sum(n)::BIGINT AS points, count(DISTINCT (geo, attr)) AS combinations FROM mc")
 def microcluster_stats(spark, sf):
     return similarity.microcluster_stats(similarity.microclusters(_placed(spark, sf)))[0]

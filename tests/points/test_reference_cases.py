@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoquilt.functions import geometry as g
 from geoquilt.functions import vectors as v
 from geoquilt.operators import layout, similarity, spatial
+from geoquilt.plans import catalog
 from geoquilt.schema import Box, PointSet
 
 
@@ -228,3 +229,22 @@ def test_split_axis(spark):
     one, two = layout.best_split(flat, 3).first(), layout.best_split(tall, 3).first()
     assert (one.axis, two.axis) == (0, 1) and one.shared == two.shared == 0.0
     assert layout.splits(flat, 3).count() == 2 * 4
+
+
+def embedded(spark, folder, n):
+    """A folder with n embeddings of one label inside the box of the catalog's queries."""
+    rows = [(i, 1, [0.05 * math.sin(i), 0.05 * math.cos(i), *[0.01 * ((i * (k + 3)) % 11) for k in range(18)]]) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_group_members_are_all_members(spark, tmp_path):
+    (row,) = catalog.queries()["group_members"](spark, embedded(spark, tmp_path, 1500)).collect()
+    assert row.n == 1500 and row.members == ",".join(map(str, range(1500)))
+
+
+def test_microcluster_members_are_capped(spark):
+    placed = spark.range(1500).selectExpr("id", "'0:0' cell", "1 geo", "1 attr")
+    groups = similarity.microcluster_members(placed)
+    assert [len(r.members) for r in groups.collect()] == [1500]
+    assert [(r.n, r.members) for r in similarity.capped_members(groups).collect()] == [(1500, list(range(1000)))]
