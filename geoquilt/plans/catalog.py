@@ -202,15 +202,14 @@ STATUS = """st AS (SELECT o_orderpriority || o_orderstatus AS name, min(x) AS x0
         FROM orders WHERE o_orderkey % 50 = 0) GROUP BY 1)"""
 
 
-@query(
-    f"""WITH {STATUS} SELECT a.name AS a, b.name AS b,
+OVERLAPS = """SELECT a.name AS a, b.name AS b,
     round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)), 4) AS shared,
     NOT (a.x1 < b.x0 OR b.x1 < a.x0 OR a.y1 < b.y0 OR b.y1 < a.y0) AS touching FROM st a JOIN st b ON a.name < b.name"""
-)
-def box_overlap_pairs(spark, sf):
+
+
+def _overlaps(orders: DataFrame) -> DataFrame:
     days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
-    rows = _table(spark, sf, "orders").where("o_orderkey % 50 = 0")
-    rows = rows.select(F.concat("o_orderpriority", "o_orderstatus").alias("name"), F.col("o_totalprice").alias("x"), days.alias("y"))
+    rows = orders.select(F.concat("o_orderpriority", "o_orderstatus").alias("name"), F.col("o_totalprice").alias("x"), days.alias("y"))
     boxes = rows.groupBy("name").agg(*g.box_of())
     a, b = (boxes.toDF(p, *[f"{p}_{s}" for s in ("x0", "y0", "x1", "y1")]) for p in "ab")
     pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # a box per label: a handful
@@ -218,6 +217,20 @@ def box_overlap_pairs(spark, sf):
     return pairs.select("a", "b", F.round(g.overlap(one, two), 4).alias("shared"), g.intersects(one, two).alias("touching"))
 
 
+@query(f"WITH {STATUS} {OVERLAPS}")
+def box_overlap_pairs(spark, sf):
+    return _overlaps(_table(spark, sf, "orders").where("o_orderkey % 50 = 0"))
+
+
+ALL_STATUS = """st AS (SELECT o_orderpriority || o_orderstatus AS name, min(o_totalprice) AS x0, min(y) AS y0, max(o_totalprice) AS x1,
+  max(y) AS y1 FROM (SELECT *, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS y FROM orders) GROUP BY 1)"""
+
+
+@query(f"WITH {ALL_STATUS} {OVERLAPS}")
+def box_overlap_pairs_all(spark, sf):
+    return _overlaps(_table(spark, sf, "orders"))
+
+
 @query(
     """SELECT o_orderkey AS id, (trunc(o_totalprice * 10) - 100)::BIGINT AS x0, (trunc(o_totalprice * 10) + 100)::BIGINT AS x1
     FROM orders"""
@@ -245,15 +258,27 @@ REGIONS = """reg AS (SELECT box, x0, y0, x0 + 5000 AS x1, y0 + 50 AS y1 FROM (SE
   ((c_custkey * 7919) % 500000)::DOUBLE AS x0, ((c_custkey * 104729) % 2400)::DOUBLE AS y0 FROM customer WHERE c_custkey % 3 = 0))"""
 
 
-@query(f"WITH {ORD}, {REGIONS} SELECT id, box FROM ord JOIN reg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-def points_in_boxes(spark, sf):
+def _in_regions(spark, sf, customers: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    boxes = _table(spark, sf, "customer").where("c_custkey % 3 = 0")
-    boxes = boxes.select(k.alias("box"), (k * 7919 % 500000).cast("double").alias("x0"), (k * 104729 % 2400).cast("double").alias("y0"))
+    boxes = customers.select(k.alias("box"), (k * 7919 % 500000).cast("double").alias("x0"), (k * 104729 % 2400).cast("double").alias("y0"))
     boxes = boxes.withColumns({"x1": F.col("x0") + 5000, "y1": F.col("y0") + 50})
     return spatial.points_in_boxes(orders(spark, sf).df, boxes, 5000.0, 50.0).select("id", "box")
 
 
+@query(f"WITH {ORD}, {REGIONS} SELECT id, box FROM ord JOIN reg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def points_in_boxes(spark, sf):
+    return _in_regions(spark, sf, _table(spark, sf, "customer").where("c_custkey % 3 = 0"))
+
+
+ALL_REGIONS = """reg AS (SELECT box, x0, y0, x0 + 5000 AS x1, y0 + 50 AS y1 FROM (SELECT c_custkey AS box,
+  ((c_custkey * 7919) % 500000)::DOUBLE AS x0, ((c_custkey * 104729) % 2400)::DOUBLE AS y0 FROM customer))"""
+
+
+@query(f"WITH {ORD}, {ALL_REGIONS} SELECT id, box FROM ord JOIN reg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def points_in_boxes_all(spark, sf):
+    return _in_regions(spark, sf, _table(spark, sf, "customer"))
+
+
 @query(f"WITH {ORD} SELECT o.id, o.geo, c.c_mktsegment AS segment FROM ord o JOIN customer c ON c.c_custkey = o.geo")
 def payload_lookup(spark, sf):
     payload = _table(spark, sf, "customer").select(F.col("c_custkey").alias("geo"), F.col("c_mktsegment").alias("segment"))
@@ -520,9 +545,21 @@ def best_split(spark, sf):
     SELECT id, ord.geo, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ord LEFT JOIN c ON c.geo = ord.geo"""
 )
 def centroids_onto_points(spark, sf):
-    points = orders(spark, sf).df.select("id", "geo", "x", "y")
-    centres = points.where("geo < 50").groupBy("geo").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    return points.join(F.broadcast(centres), "geo", "left").select("id", "geo", r6("cx", "cx"), r6("cy", "cy"))  # 50 rows
+    return _centroids_onto(orders(spark, sf).df, "geo < 50")
+
+
+@query(
+    f"""WITH {ORD}, c AS (SELECT geo, avg(x) AS cx, avg(y) AS cy FROM ord GROUP BY geo)
+    SELECT id, ord.geo, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ord LEFT JOIN c ON c.geo = ord.geo"""
+)
+def centroids_onto_points_all(spark, sf):
+    return _centroids_onto(orders(spark, sf).df, "true")
+
+
+def _centroids_onto(orders: DataFrame, which: str) -> DataFrame:
+    points = orders.select("id", "geo", "x", "y")
+    centres = points.where(which).groupBy("geo").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return points.join(F.broadcast(centres), "geo", "left").select("id", "geo", r6("cx", "cx"), r6("cy", "cy"))  # 65 rows at most
 
 
 @query(f"WITH {ORD} SELECT geo, x, y, id FROM ord ORDER BY geo, x, y, id LIMIT 100")

@@ -248,3 +248,29 @@ def test_microcluster_members_are_capped(spark):
     groups = similarity.microcluster_members(placed)
     assert [len(r.members) for r in groups.collect()] == [1500]
     assert [(r.n, r.members) for r in similarity.capped_members(groups).collect()] == [(1500, list(range(1000)))]
+
+
+def test_whole_table_queries_equal_brute_force(spark):
+    """Over all orders and customers, beside the queries of a part of them."""
+    sf, q = "/root/testdata/sf0.001", catalog.queries()
+    rows = catalog.orders(spark, sf).df.join(spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey id", "o_orderstatus s"), "id").collect()
+    boxes = {}
+    for r in rows:
+        x0, y0, x1, y1 = boxes.get(r.attr + r.s, (r.x, r.y, r.x, r.y))
+        boxes[r.attr + r.s] = min(x0, r.x), min(y0, r.y), max(x1, r.x), max(y1, r.y)
+    want = {}
+    for a, b in ((a, b) for a in boxes for b in boxes if a < b):
+        w, h = (min(boxes[a][k + 2], boxes[b][k + 2]) - max(boxes[a][k], boxes[b][k]) for k in (0, 1))
+        want[a, b] = round(max(0, w) * max(0, h), 4), w >= 0 and h >= 0
+    got = {(r.a, r.b): (r.shared, r.touching) for r in q["box_overlap_pairs_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=1e-3), want[k][1]) for k in want)
+    keys = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    places = [(k, k * 7919 % 500000, k * 104729 % 2400) for k in keys]
+    want = {(r.id, k) for r in rows for k, x, y in places if x <= r.x <= x + 5000 and y <= r.y <= y + 50}
+    got = [tuple(r) for r in q["points_in_boxes_all"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want and any(k % 3 for _, k in want)
+    got = q["centroids_onto_points_all"](spark, sf).collect()
+    assert len(got) == len(rows) and any(r.geo >= 50 for r in got)
+    for r in got:
+        mine = [p for p in rows if p.geo == r.geo]
+        assert (r.cx, r.cy) == pytest.approx((sum(p.x for p in mine) / len(mine), sum(p.y for p in mine) / len(mine)), abs=1e-5)
