@@ -15,7 +15,8 @@ from geoquilt.functions import geometry as g
 from geoquilt.schema import Box
 
 
-#: Cells of a balanced layout, whose bounds are part of the plan.
+#: Cells of a balanced layout up to which its bounds are part of the plan; of more, they are a
+#: small table, which is broadcast.
 MOST_CELLS = 10_000
 
 
@@ -66,8 +67,6 @@ class Slabs:
             raise ValueError("a cell holds two rows at least")
         n = points.count()
         cells = max(1, math.ceil(n / rows_per_cell))
-        if cells > MOST_CELLS:
-            raise ValueError(f"{cells} cells; bounds are kept for {MOST_CELLS} at most: take more rows a cell, or a Grid")
         across = max(1, math.ceil(math.sqrt(cells)))
         down = max(1, math.ceil(cells / across))
         cut = lambda k: [i / k for i in range(1, k)]
@@ -87,9 +86,15 @@ class Slabs:
 
     def assign(self, points: DataFrame) -> DataFrame:
         placed = points.withColumn("gx", self._place(F.col("x"), self.x_bounds).cast("long"))
-        rows = F.array(*[F.array(*[F.lit(float(b)) for b in ys]).cast("array<double>") for ys in self.y_bounds])
-        mine = F.get(rows, F.col("gx").cast("int"))
-        placed = placed.withColumn("gy", F.size(F.filter(mine, lambda b: b <= F.col("y"))).cast("long"))
+        if sum(len(ys) + 1 for ys in self.y_bounds) > MOST_CELLS:
+            slabs = [(i, [float(b) for b in ys]) for i, ys in enumerate(self.y_bounds)]
+            bounds = points.sparkSession.createDataFrame(slabs, "gx long, __ys array<double>")
+            placed = placed.join(F.broadcast(bounds), "gx", "left").select(*placed.columns, "__ys")
+            mine = F.col("__ys")
+        else:
+            rows = F.array(*[F.array(*[F.lit(float(b)) for b in ys]).cast("array<double>") for ys in self.y_bounds])
+            mine = F.get(rows, F.col("gx").cast("int"))
+        placed = placed.withColumn("gy", F.size(F.filter(mine, lambda b: b <= F.col("y"))).cast("long")).drop("__ys")
         return placed.withColumn("cell", F.concat_ws(":", "gx", "gy"))
 
 

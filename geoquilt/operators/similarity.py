@@ -16,8 +16,10 @@ from geoquilt.operators import layout
 from geoquilt.operators.spatial import in_box
 from geoquilt.schema import Box, PointSet
 
-#: Points up to which all pairs of a box are formed.
+#: Points of a box up to which one side of all pairs is broadcast.
 MOST_PAIRED = 20_000
+#: Points of a block beyond that: a task forms the pairs of two blocks.
+PAIR_BLOCK = 5_000
 
 
 def reference(points: PointSet, id) -> DataFrame:
@@ -115,16 +117,27 @@ def subcluster_in_box(points: DataFrame, box: Box, attr, name: str = "attr") ->
     return in_box(points, box).where(F.col(name) == F.lit(attr))
 
 
-def pair_similarity(points: PointSet, box: Box, most: int = MOST_PAIRED) -> DataFrame:
-    """(a, b, similarity, rank of b for a) of all pairs a < b in a box, which may hold `most`
-    points: the number of pairs is the square of that."""
+def pair_similarity(points: PointSet, box: Box, most: int | None = None) -> DataFrame:
+    """(a, b, similarity, rank of b for a) of all pairs a < b in a box. Their number is the square
+    of the points': a caller may give a bound of these. Up to MOST_PAIRED points one side is
+    broadcast; of more, pairs are formed by blocks of about PAIR_BLOCK points."""
     rows = in_box(points.df, box)
-    if (n := rows.count()) > most:
+    n = rows.count()
+    if most is not None and n > most:
         raise ValueError(f"the box holds {n} points; pairs are formed of {most} at most")
     left = rows.select(F.col("id").alias("a"), *[F.col(f).alias(f"a_{f}") for f in points.features])
     right = rows.select(F.col("id").alias("b"), *[F.col(f).alias(f"b_{f}") for f in points.features])
     near = v.similarity([F.col(f"a_{f}") for f in points.features], [F.col(f"b_{f}") for f in points.features])
-    pairs = left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", F.round(near, 9).alias("similarity"))
+    if n <= MOST_PAIRED:
+        both = left.join(F.broadcast(right), F.col("a") < F.col("b"))
+    else:  # each pair of blocks meets once, under a key of its own
+        blocks = -(-n // PAIR_BLOCK)
+        other = F.sequence(F.lit(0), F.lit(blocks - 1))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        left = left.withColumn("i", block("a")).withColumn("j", F.explode(other))
+        right = right.withColumn("j", block("b")).withColumn("i", F.explode(other))
+        both = left.join(right.hint("shuffle_merge"), ["i", "j"]).where("a < b")
+    pairs = both.select("a", "b", F.round(near, 9).alias("similarity"))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b")))
 
 

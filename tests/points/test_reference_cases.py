@@ -274,3 +274,18 @@ def test_whole_table_queries_equal_brute_force(spark):
     for r in got:
         mine = [p for p in rows if p.geo == r.geo]
         assert (r.cx, r.cy) == pytest.approx((sum(p.x for p in mine) / len(mine), sum(p.y for p in mine) / len(mine)), abs=1e-5)
+
+
+def test_pairs_by_blocks_equal_pairs_at_once(spark, monkeypatch):
+    ps = points(spark, [(i, 0.01 * (i % 7), 0.0, 1, float((i * i) % 13), float(i % 5)) for i in range(90)], 2)
+    once = sorted(similarity.pair_similarity(ps, Box(-1, -1, 1, 1)).collect())
+    monkeypatch.setattr(similarity, "MOST_PAIRED", 50)
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 20, raising=False)
+    assert sorted(similarity.pair_similarity(ps, Box(-1, -1, 1, 1)).collect()) == once and len(once) == 90 * 89 // 2
+
+
+def test_more_cells_than_a_plan_holds(spark, monkeypatch):
+    df = spark.createDataFrame(lcg(500), "id long, x double, y double")
+    want = sorted(layout.Slabs.fit(df, 8).assign(df).collect())
+    monkeypatch.setattr(layout, "MOST_CELLS", 20)
+    assert sorted(layout.Slabs.fit(df, 8).assign(df).collect()) == want
