@@ -24,6 +24,8 @@ from geoquilt.functions import geometry as g
 SEED = 42
 #: Points on which a silhouette is computed; the number of its distances is the square of that.
 SILHOUETTE_SAMPLE = 10_000
+#: Starts of a k-means, of which the one with the least inertia holds.
+STARTS = 3
 SILHOUETTE_BLOCK = 512
 
 
@@ -73,10 +75,16 @@ def explained_variance(shares: Sequence[float]) -> list[tuple[int, float, float]
     return [(i + 1, float(s), float(t)) for i, (s, t) in enumerate(zip(shares, total, strict=True))]
 
 
-def clusters(df: DataFrame, columns: Sequence[str], k: int, label: str = "cluster", seed: int = SEED, iterations: int = 100, tolerance: float = 1e-3):
-    """(df with labels, centres, inertia). Labels go by the order of the centres."""
+def clusters(
+    df: DataFrame, columns: Sequence[str], k: int, label: str = "cluster", seed: int = SEED, iterations: int = 100, tolerance: float = 1e-3, starts: int = STARTS
+):
+    """(df with labels, centres, inertia) of the best of several starts, of equals the first.
+    Labels go by the order of the centres."""
     rows = assembled(df, columns)
-    model = KMeans(k=k, seed=seed, maxIter=iterations, tol=tolerance, featuresCol="__v", predictionCol="__k").fit(rows)
+    means = [KMeans(k=k, seed=seed + i, maxIter=iterations, tol=tolerance, featuresCol="__v", predictionCol="__k") for i in range(starts)]
+    points = rows.select("__v").cache()
+    model = min((m.fit(points) for m in means), key=lambda m: m.summary.trainingCost)
+    points.unpersist()
     centres = [c.tolist() for c in model.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     rank = {old: new for new, old in enumerate(order)}
@@ -131,20 +139,32 @@ def spacing_sweep(df: DataFrame, ks: Sequence[int], x: str = "x", y: str = "y",
     return out
 
 
-def _kmeans(z: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
-    """Lloyd's algorithm on one group's rows, from spread starting points."""
+def _away(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.stack([((z - c) ** 2).sum(1) for c in centres], 1)
+
+
+def _lloyd(z: np.ndarray, k: int, seed: int, rounds: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(inertia, labels, centres) of Lloyd's algorithm, from spread starting points."""
     rng = np.random.default_rng(seed)
     centres = z[[rng.integers(len(z))]]
+    least = _away(z, centres)[:, 0]
     while len(centres) < k:
-        d = ((z[:, None] - centres[None]) ** 2).sum(2).min(1)
-        centres = np.vstack([centres, z[d.argmax()]])
+        centres = np.vstack([centres, z[least.argmax()]])
+        least = np.minimum(least, _away(z, centres[-1:])[:, 0])
     label = np.zeros(len(z), int)
     for _ in range(rounds):
-        new = ((z[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = _away(z, centres).argmin(1)
         centres = np.array([z[new == i].mean(0) if (new == i).any() else centres[i] for i in range(k)])
         if (new == label).all():
             break
         label = new
+    return float(((z - centres[label]) ** 2).sum()), label, centres
+
+
+def _kmeans(z: np.ndarray, k: int, seed: int, rounds: int = 50, starts: int = STARTS) -> np.ndarray:
+    """Labels of one group's rows by the best of several starts, of equals the first."""
+    _, label, centres = min((_lloyd(z, k, seed + i, rounds) for i in range(starts)), key=lambda x: x[0])
     rank = {old: i for i, old in enumerate(sorted(range(k), key=lambda i: centres[i].tolist()))}
     return np.array([rank[i] for i in label])
 
@@ -171,7 +191,10 @@ def subclusters(df: DataFrame, by: str, columns: Sequence[str], k: int, label: s
 def silhouette(df: DataFrame, columns: Sequence[str], label: str, sample: int = SILHOUETTE_SAMPLE) -> float:
     """Mean silhouette by Euclidean distance, exact on a sample of `sample` rows by hash."""
     rows = df.select(*columns, label).orderBy(F.xxhash64(*columns), *columns).limit(sample).toPandas()
-    z, y = rows[list(columns)].to_numpy(float), rows[label].to_numpy()
+    return _silhouette(rows[list(columns)].to_numpy(float), rows[label].to_numpy())
+
+
+def _silhouette(z: np.ndarray, y: np.ndarray) -> float:
     names, y = np.unique(y, return_inverse=True)
     if len(names) < 2 or len(names) >= len(z):
         return 0.0
@@ -180,8 +203,10 @@ def silhouette(df: DataFrame, columns: Sequence[str], label: str, sample: int =
     total = 0.0
     for i in range(0, len(z), SILHOUETTE_BLOCK):
         part = z[i : i + SILHOUETTE_BLOCK]
-        d = np.sqrt(np.maximum(((part[:, None] - z[None]) ** 2).sum(2), 0))
-        sums = d @ one_hot
+        d = np.zeros((len(part), len(z)))
+        for f in range(z.shape[1]):
+            d += (part[:, f, None] - z[None, :, f]) ** 2
+        sums = np.sqrt(d) @ one_hot
         own = y[i : i + SILHOUETTE_BLOCK]
         at = np.arange(len(part))
         a = sums[at, own] / np.maximum(size[own] - 1, 1)
@@ -200,27 +225,23 @@ def best_k(df: DataFrame, columns: Sequence[str], ks: Sequence[int] = range(2, 2
     return max(scores, key=lambda k: (scores[k], -k)), scores
 
 
-def best_k_by_group(df: DataFrame, by: str, columns: Sequence[str], most: int = 20, per: int = 1000, seed: int = SEED) -> DataFrame:
-    """(by, k): k of 2..max(2, min(most, n / per)) by silhouette in each group, 1 below 3 rows."""
+def best_k_by_group(
+    df: DataFrame, by: str, columns: Sequence[str], most: int = 20, per: int = 1000, seed: int = SEED, sample: int = SILHOUETTE_SAMPLE
+) -> DataFrame:
+    """(by, k): k of 2..max(2, min(most, n / per)) by silhouette in each group, 1 below 3 rows. All
+    rows of a group are fitted, in one task; silhouettes are of `sample` of them at most."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         z = pdf[list(columns)].to_numpy(float)
         z = z[np.lexsort(z.T[::-1])]
-        z = z[:: max(1, -(-len(z) // 2000))]  # a silhouette's distances are the square of this
         best, top = 1, -2.0
         if len(z) >= 3:
-            d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
-            for k in range(2, max(2, min(most, len(pdf) // per)) + 1):
+            seen = np.arange(len(z))
+            if len(z) > sample:
+                seen = np.sort(np.random.default_rng(seed).choice(len(z), sample, replace=False))
+            for k in range(2, max(2, min(most, len(z) // per)) + 1):
                 y = _kmeans(z, min(k, len(z)), seed)
-                size = np.bincount(y, minlength=k)
-                sums = d @ np.eye(len(size))[y]
-                at = np.arange(len(z))
-                a = sums[at, y] / np.maximum(size[y] - 1, 1)
-                means = np.where(size > 0, sums / np.maximum(size, 1), np.inf)
-                means[at, y] = np.inf
-                b = means.min(1)
-                s = float(np.where(size[y] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
-                if s > top:
+                if len(np.unique(y)) > 1 and (s := _silhouette(z[seen], y[seen])) > top:
                     best, top = k, s
         return pd.DataFrame([[pdf[by].iloc[0], best]], columns=[by, "k"])
 

@@ -1018,7 +1018,7 @@ def attribute_subclusters(spark, sf):
 @query()
 def best_k(spark, sf):
     points = emb(spark, sf)
-    k, scores = models.best_k(points.df, points.features, range(2, 6), sample=500)
+    k, scores = models.best_k(points.df, points.features)
     return spark.createDataFrame([(i, float(s), i == k) for i, s in scores.items()], "k int, silhouette double, chosen boolean")
 
 

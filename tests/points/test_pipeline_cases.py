@@ -246,6 +246,24 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     assert spark.sql("select sum(n) from wc").first()[0] == events.count()
 
 
+def test_best_k_of_a_group_sees_all_rows(spark):
+    """Every other row of the order by x would show two clusters of four."""
+    rows = [("z", 1e-6 * i, (0.0, 100.0, 10.0, 110.0)[i % 4]) for i in range(4000)]
+    df = frame(spark, rows, "zone string, x double, y double")
+    assert models.best_k_by_group(df, "zone", ["x", "y"]).first().k == 4
+
+
+def test_clusters_take_the_best_of_three_starts(spark):
+    rng = np.random.default_rng(3)
+    df = frame(spark, [tuple(map(float, p)) for p in rng.random((60, 2))], "x double, y double").coalesce(1)
+    costs = [models.clusters(df, ["x", "y"], 9, seed=models.SEED + i, starts=1)[2] for i in range(3)]
+    assert min(costs) < costs[0] and models.clusters(df, ["x", "y"], 9)[2] == pytest.approx(min(costs))
+
+
+def test_best_k_query_tries_every_k(spark):
+    assert sorted(r.k for r in catalog.queries()["best_k"](spark, SF).collect()) == list(range(2, 21))
+
+
 def test_catalog_models_keep_invariants(spark):
     q = catalog.queries()
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
