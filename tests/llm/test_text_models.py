@@ -179,3 +179,9 @@ def test_url_model_fits_its_table():
     assert np.mean(right) > 0.95
     assert url_filter.fit([]).score("a", "/") == 0.5
     assert url_filter.fit([("http://a/", 1), ("http://b/", None)]).score("", "") > 0.9
+
+
+def test_toxicity_bound_and_beginnings():
+    assert toxicity.MAX_TRAINING == 12_000
+    seven = {toxicity.xxhash.xxh3_64_intdigest(b"abcdefg*") % toxicity.BUCKETS}
+    assert seven < set(toxicity.buckets(b"abcdefgh")) and len(toxicity.buckets(b"abcdefgh")) == 5
