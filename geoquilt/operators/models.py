@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoquilt.functions import geometry as g
+from geoquilt.sources import files
 
 # Fixed value, on which labels depend.
 SEED = 42
@@ -26,6 +27,8 @@ SEED = 42
 SILHOUETTE_SAMPLE = 10_000
 #: Starts of a k-means, of which the one with the least inertia holds.
 STARTS = 3
+#: Rounds of boosting.
+ROUNDS = 1000
 SILHOUETTE_BLOCK = 512
 
 
@@ -249,14 +252,18 @@ def best_k_by_group(
 
 
 def forecasts(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str = "value", kind: str = "linear") -> DataFrame:
-    """test with `predicted`, rounded: by linear regression, a forest of 40 trees or boosting."""
+    """test with `predicted`, rounded: by linear regression, a forest of 40 trees or 1,000 rounds of
+    boosting, whose lineage is cut by checkpoints."""
     makers = {
         "linear": lambda: LinearRegression(featuresCol="__v", labelCol=target),
         "forest": lambda: RandomForestRegressor(featuresCol="__v", labelCol=target, numTrees=40, featureSubsetStrategy="sqrt", minInstancesPerNode=4, seed=SEED),
-        "boosted": lambda: GBTRegressor(featuresCol="__v", labelCol=target, maxDepth=3, maxIter=50, stepSize=0.1, subsamplingRate=0.8, seed=SEED),
+        "boosted": lambda: GBTRegressor(featuresCol="__v", labelCol=target, maxDepth=3, maxIter=ROUNDS, stepSize=0.1, subsamplingRate=0.8, seed=SEED),
     }
     if kind not in makers:
         raise ValueError(f"no such model: {kind}")
+    context = train.sparkSession.sparkContext
+    if kind == "boosted" and not context.getCheckpointDir():
+        context.setCheckpointDir(files.scratch(train.sparkSession, "boosting"))
     as_double = lambda d: d.withColumn(target, F.col(target).cast("double"))
     model = makers[kind]().fit(assembled(as_double(train), columns))
     out = model.transform(assembled(as_double(test), columns))

@@ -1031,6 +1031,8 @@ def best_k_by_zone(spark, sf):
 def _forecast(spark, sf, kind):
     centres = spark.range(CLUSTERS).select(F.col("id").alias("cluster"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
     frame = series.time_split(series.training_frame(_series(spark, sf), centres, BINS, 4)).cache()
+    if kind == "boosted":  # clusters x bins rows, whatever the input, read in every round
+        frame = frame.coalesce(1).cache()
     columns = ["ft_5", "ft_4", "ft_3", "ft_2", "ft_1", "weekday", "exp_avg"]
     out = models.forecasts(frame.where("part = 'train'"), frame.where("part = 'test'"), columns, kind=kind)
     return out.select("cluster", "bin", "value", "predicted", "error")

@@ -246,6 +246,20 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     assert spark.sql("select sum(n) from wc").first()[0] == events.count()
 
 
+def test_boosting_runs_a_thousand_rounds(spark, monkeypatch):
+    asked = {}
+
+    def regressor(**given):
+        asked.update(given)
+        return real(**given | {"maxIter": 2})
+
+    real = models.GBTRegressor
+    monkeypatch.setattr(models, "GBTRegressor", regressor)
+    df = frame(spark, [(float(i), i) for i in range(20)], "a double, value int")
+    assert models.forecasts(df, df, ["a"], kind="boosted").count() == 20
+    assert (asked["maxIter"], asked["maxDepth"], asked["stepSize"], asked["subsamplingRate"]) == (1000, 3, 0.1, 0.8)
+
+
 def test_best_k_of_a_group_sees_all_rows(spark):
     """Every other row of the order by x would show two clusters of four."""
     rows = [("z", 1e-6 * i, (0.0, 100.0, 10.0, 110.0)[i % 4]) for i in range(4000)]
