@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("geoquilt.llm")
@@ -32,7 +33,8 @@ def test_ids_equal_the_library(both):
     r = random.Random(7)
     signs = "abcdeABC  '''stvremll  \t\n\r\x0b\x0c\x1c\x1d\x1f\x85\xa0 　​0123½²éÉñ中文字😀ا٣́\x00\x7f!!??..--#$%"
     texts = [t or "" for t in ODD] + ["".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(3000)]
-    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+    for text, parts in zip(texts, codec.encode_all(texts), strict=True):
+        ids = [i for part in parts for i in part.tolist()]
         assert ids == library.encode_ordinary(text), repr(text)
         assert codec.decode(ids) == text.encode()
 
@@ -42,11 +44,62 @@ def test_queue_gives_ranks_in_order():
     queue = bpe.RankQueue(50_000)
     want = sorted(r.sample(range(50_000), 500))
     for rank in r.sample(want, 500):
-        queue.put(rank, [3, 1])
-    assert [queue.take() for _ in want] == [(rank, [1, 3]) for rank in want]
+        queue.put(rank, np.array([7, 1]))
+    for rank in want[::2]:
+        queue.put(rank, 3)
+    for i, rank in enumerate(want):
+        found, at = queue.take()
+        assert found == rank and at.tolist() == ([1, 7] if i % 2 else [1, 3, 7])
     assert queue.take() is None
 
 
+def _plain_merge(piece, ranks):
+    """The least rank first, the leftmost of equals, by search of the whole list."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("many", [0, 4, 48])
+def test_ranks_in_any_order(monkeypatch, many):
+    """Also where a merge makes a pair of a lower rank, as vocabularies that weren't trained do."""
+    monkeypatch.setattr(bpe, "MANY", many)
+    r = random.Random(many)
+    for _ in range(30):
+        tokens = {"".join(r.choices("abc", k=r.randrange(2, 7))).encode() for _ in range(60)}
+        order = [bytes([b]) for b in range(256)] + r.sample(sorted(tokens), len(tokens))
+        ranks = {t: i for i, t in enumerate(order)}
+        raw = b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in ranks.items())
+        codec = bpe.Codec(raw, public_tokenizers.PATTERN)
+        pieces = ["".join(r.choices("abc", k=r.randrange(1, 60))).encode() for _ in range(40)]
+        ids, counts = codec.merge(pieces)
+        want = [_plain_merge(p, ranks) for p in pieces]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_memory_of_a_worker_is_bounded(monkeypatch, both):
+    codec, library = both
+    for name, value in (("REMEMBERED", 500), ("KEPT", 100), ("GROUP", 2000), ("QUEUED", 300), ("PART", 16)):
+        monkeypatch.setattr(bpe, name, value)
+    codec.forget()
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("etaoinshr", k=r.randrange(1, 9))) for _ in range(r.randrange(700))) for _ in range(60)]
+    for text, parts in zip(texts, codec.encode_all(texts), strict=True):
+        assert [i for part in parts for i in part.tolist()] == library.encode_ordinary(text)
+    assert len(codec.numbers) <= 500
+    codec.forget()
+
+
+def test_long_text_without_white_space(both):
+    codec, library = both
+    text = "".join(random.Random(3).choices("etaoinshrdlu", k=1_000_000))
+    assert codec.encode(text) == library.encode_ordinary(text)
+
+
 def test_encode_documents(spark, both):
     prepare(spark)
     _, library = both
