@@ -86,18 +86,19 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(cls(path), True)
 
 
-def stored(spark: SparkSession, df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def stored(spark: SparkSession, df: DataFrame, tag: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write df as a table of the shared folder and read it back: cuts the lineage in a
     way that survives lost executors."""
     path = workspace(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, target: str, folds: int, held: int, bound: int
 ) -> DataFrame:
-    """(doc_id, text, y) of at most `bound` labelled documents outside the held-out fold.
+    """(doc_id, text, y) of at most `bound` labelled documents outside the held-out fold, one
+    row each.
 
     The held-out fold is crc32(doc_id as text) mod folds = held. Which rows are taken
     beyond the bound follows from a hash of the id alone. Labels that are null or not 0
@@ -113,7 +114,10 @@ def labelled_sample(
     )
     # `bound` rows of 12 bytes: the broadcast has a fixed size
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(picked), "doc_id")
+    # a document that several rows give has the text of the least hash
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    found = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), first)
+    return found.select("doc_id", "first.text", "y")
 
 
 def held_out(folds: int, held: int):

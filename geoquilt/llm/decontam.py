@@ -1,21 +1,23 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is sharded by document: each worker turns about a million words at a time into one
-row of postings, for the terms that the test items use (no other word can be in a match). The
-rows are a table of the shared folder. Positions run through a shard with a free one after
-each document, so that no match spans two.
+The index holds every word of the training texts and knows nothing of the tests, so that one
+stored index serves any number of benchmarks. It is sharded by document: each worker turns about
+a million words at a time into one row with the shard's terms and their positions. Positions
+run through a shard with a free one after each document, so that no match spans two.
 
 A query takes a window of test words and starts from the term with the shortest list of the
 shard; its positions less the term's offset are the candidate starts. The other terms' lists,
 by length, are intersected with these, each by its own offset. What is left are the exact
 occurrences. Windows with a term that the shard lacks are gone at once.
 
-Test items go in blocks of a bounded number of words, each with an index of its own terms, so
-that what is broadcast does not grow with them.
+Test items go in blocks of a bounded number of words, so that what is broadcast does not grow
+with them. Each block finds the rows of training texts that it hits; a row is known by its shard
+and place, and the blocks' hits meet by these, one path for any number of blocks.
 
 Null and empty texts have no words; such items match nothing. Item rows without an id count
-under the empty name. Every document row gives one row, repeated ids and null ids included;
-where the items take several blocks, their results meet by a stored number of the row.
+under the empty name. Every document row gives one row, repeated ids and null ids included. No
+items hit nothing, and an empty table of documents gives an empty one. Other columns of both
+tables are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,12 @@ _TOKENS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256)
 )
 
-INDEX = "doc_id array<long>, n_words array<long>, start array<long>, term array<int>, first array<int>, steps binary"
+#: Hit documents up to which their rows are broadcast (some 100 bytes each).
+BROADCAST_HITS = 100_000
+
+INDEX = "shard long, doc_id array<long>, n_words array<long>, start array<long>, terms binary, first binary, steps binary"
+#: Runs of hit words and items by row.
+HITS = "shard long, nth int, runs array<array<long>>, items array<string>"
 
 
 def words(text: str) -> list[bytes]:
@@ -77,58 +83,73 @@ class Plan:
         return cls(vocabulary, [name for name, _ in items], windows)
 
 
-def _indexed(vocabulary: dict[bytes, int]):
-    def shard(ids, sizes, parts):
-        sizes = np.array(sizes, np.int64)
-        start = np.cumsum(np.r_[0, sizes + 1])[:-1]
-        whole = np.full(int(sizes.sum()) + len(sizes), -1, np.int32)
-        for at, part in zip(start, parts, strict=True):
-            whole[at : at + len(part)] = part
-        position = np.flatnonzero(whole >= 0)
-        position = position[np.argsort(whole[position], kind="stable")]
-        term, first = np.unique(whole[position], return_index=True)
-        steps = np.diff(position, prepend=0).astype("<i4").tobytes()
-        columns = [[list(ids)], [sizes], [start], [term], [first.astype(np.int32)], [steps]]
-        kinds = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.int32())] * 2 + [pa.binary()]
+class _Terms(dict):
+    """Words by number, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _indexed(batches):
+    from pyspark import TaskContext
+
+    # a retried task makes the same shards of the same partition
+    number = TaskContext.get().partitionId() << 32
+
+    def shard():
+        sizes = np.array([len(part) for part in parts], np.int64)
+        start = np.cumsum(sizes + 1) - sizes - 1
+        term = np.concatenate(parts)
+        position = np.arange(len(term)) + np.repeat(np.arange(len(parts)), sizes)
+        order = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[order], np.arange(len(terms)))
+        steps = np.diff(position[order], prepend=0).astype("<i4").tobytes()
+        columns = [[number], [list(ids)], [sizes], [start], [b"\n".join(terms)], [first.astype("<i4").tobytes()], [steps]]
+        kinds = [pa.int64()] + [pa.list_(pa.int64())] * 3 + [pa.binary()] * 3
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["doc_id", "n_words", "start", "term", "first", "steps"],
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in INDEX.split(", ")]
         )
 
-    def run(batches):
-        ids, sizes, parts, held = [], [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                found = words(text)
-                ids.append(doc_id)
-                sizes.append(len(found))
-                parts.append(np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int32, len(found)))
-                held += len(found)
-                if held >= SHARD_WORDS:
-                    yield shard(ids, sizes, parts)
-                    ids, sizes, parts, held = [], [], [], 0
-        if ids:
-            yield shard(ids, sizes, parts)
-
-    return run
+    ids, parts, terms, held = [], [], _Terms(), 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist(), strict=True):
+            found = words(text)
+            ids.append(doc_id)
+            parts.append(np.fromiter(map(terms.__getitem__, found), np.int32, len(found)))
+            held += len(found)
+            if held >= SHARD_WORDS:
+                yield shard()
+                number += 1
+                ids, parts, terms, held = [], [], _Terms(), 0
+    if ids:
+        yield shard()
 
 
 class Shard:
-    """Postings of one index row."""
+    """Postings of one index row, of a plan's terms."""
 
-    def __init__(self, row: dict, terms: int):
-        self.doc_id, self.n_words = row["doc_id"], np.array(row["n_words"], np.int64)
+    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
+        self.number, self.doc_id, self.n_words = row["shard"], row["doc_id"], np.array(row["n_words"], np.int64)
         self.start = np.array(row["start"], np.int64)
-        self.position = np.cumsum(np.frombuffer(row["steps"], "<i4"), dtype=np.int64)
-        term, first = np.array(row["term"], np.int64), np.array(row["first"], np.int64)
-        self.count = np.zeros(terms, np.int64)
-        self.first = np.zeros(terms, np.int64)
-        self.count[term] = np.diff(np.r_[first, len(self.position)])
-        self.first[term] = first
+        position = np.cumsum(np.frombuffer(row["steps"], "<i4"), dtype=np.int64)
+        first = np.append(np.frombuffer(row["first"], "<i4"), len(position)).astype(np.int64)
+        known = row["terms"].split(b"\n") if row["terms"] else []
+        number = np.fromiter(map(vocabulary.get, known, repeat(-1)), np.int64, len(known))
+        there = np.flatnonzero(number >= 0)
+        there = there[np.argsort(number[there])]
+        term, sizes = number[there], np.diff(first)[there]
+        self.position = position[_ranges(first[there], sizes)]
+        self.count = np.zeros(len(vocabulary), np.int64)
+        self.first = np.zeros(len(vocabulary), np.int64)
+        self.count[term] = sizes
+        self.first[term] = np.cumsum(sizes) - sizes
         #: Ascending: term by term, each in order of position.
-        self.key = np.repeat(term, self.count[term]) << 40 | self.position
+        self.key = np.repeat(term, sizes) << 40 | self.position
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(position), bool)
         wanted = term << 40 | np.maximum(position, 0)
         at = np.searchsorted(self.key, wanted)
         return (position >= 0) & (self.key[np.minimum(at, len(self.key) - 1)] == wanted)
@@ -144,8 +165,7 @@ class Shard:
         for k in np.unique(part[times > 0]):
             chosen = np.flatnonzero((part == k) & (times > 0))
             n = times[chosen]
-            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(chosen, n), self.position[np.repeat(self.first[rarest[chosen]], n) + nth], order
+            yield np.repeat(chosen, n), self.position[_ranges(self.first[rarest[chosen]], n)], order
 
     def phrases(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its first word) of every exact occurrence."""
@@ -177,6 +197,12 @@ class Shard:
         return _joined(found)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... up to size of them, for each in turn."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
 def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -187,7 +213,7 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def _shards(plan: Plan, batches) -> Iterator[Shard]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield Shard(row, len(plan.vocabulary))
+            yield Shard(row, plan.vocabulary)
 
 
 def _matches(plan: Plan, reach: int | None):
@@ -211,12 +237,11 @@ def _matches(plan: Plan, reach: int | None):
 
 
 def _hits(plan: Plan):
-    """Runs of hit words by document: what the blocks' results are merged from."""
+    """(shard, nth, runs, items) of the rows that are hit."""
 
     def run(batches):
         for shard in _shards(plan, batches):
-            end = int(shard.start[-1] + shard.n_words[-1]) + 1
-            edges, doc_item = np.zeros(end + 1, np.int64), []
+            edges, doc_item = np.zeros(int(shard.start[-1] + shard.n_words[-1]) + 2, np.int64), []
             for item, _, terms in plan.windows:
                 window, at = shard.phrases(terms)
                 np.add.at(edges, at, 1)
@@ -232,15 +257,14 @@ def _hits(plan: Plan):
             items: dict[int, set[str]] = {}
             for x in np.concatenate(doc_item).tolist() if doc_item else ():
                 items.setdefault(x // len(plan.names), set()).add(plan.names[x % len(plan.names)])
-            n = len(shard.doc_id)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(shard.doc_id, pa.int64()),
-                    pa.array(shard.n_words, pa.int64()),
-                    pa.array([runs.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                    pa.array([shard.number] * len(runs), pa.int64()),
+                    pa.array(list(runs), pa.int32()),
+                    pa.array(list(runs.values()), pa.list_(pa.list_(pa.int64()))),
+                    pa.array([sorted(items[d]) for d in runs], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "runs", "items"],
+                names=["shard", "nth", "runs", "items"],
             )
 
     return run
@@ -259,12 +283,9 @@ def _digest(batches):
             n_items.append(len(names))
             sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()),
-                pa.array(n_items, pa.int64()), pa.array(sha), pa.array([x > 0 for x in n_hit], pa.bool_()),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+            [batch.column("shard"), batch.column("nth"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())],
+            names=["shard", "nth", "n_hit", "n_items", "items_sha256"],
+        )
 
 
 def plans(items: DataFrame, window: int = WINDOW) -> Iterator[Plan]:
@@ -280,15 +301,10 @@ def plans(items: DataFrame, window: int = WINDOW) -> Iterator[Plan]:
     yield Plan.of(block, window)
 
 
-def build_index(spark: SparkSession, docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
-    """The stored postings of docs (doc_id, text) for a plan's terms, and their path."""
+def build_index(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The stored postings of all words of docs (doc_id, text), and their path."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("__text"))
-    shared = spark.sparkContext.broadcast(plan.vocabulary)
-
-    def run(batches):
-        return _indexed(shared.value)(batches)
-
-    return stored(spark, rows.mapInArrow(run, INDEX), "postings")
+    return stored(spark, rows.mapInArrow(_indexed, INDEX), "postings", compression="zstd")
 
 
 def _query(spark: SparkSession, index: DataFrame, plan: Plan, make, schema: str) -> DataFrame:
@@ -307,32 +323,38 @@ def matches(spark: SparkSession, index: DataFrame, plan: Plan, reach: int | None
     return _query(spark, index, plan, lambda p: _matches(p, reach), schema)
 
 
-def document_hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
-    schema = "doc_id long, n_words long, runs array<array<long>>, items array<string>"
-    digest = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    blocks = plans(items)
-    plan, after = next(blocks), next(blocks, None)
-    if after is None:  # in one step: each step of a task has a Python worker of its own
-        index, _ = build_index(spark, docs, plan)
-        return _query(spark, index, plan, lambda p: lambda batches: _digest(_hits(p)(batches)), digest)
-    row = F.monotonically_increasing_id().alias("row")
-    numbered, texts = stored(spark, docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text"), "numbered")
-    ids, _ = stored(spark, numbered.select("row", "doc_id"), "ids")
-    parts = []
-    for plan in chain([plan, after], blocks):
-        index, path = build_index(spark, numbered.select(F.col("row").alias("doc_id"), "text"), plan)
-        hits, _ = stored(spark, _query(spark, index, plan, _hits, schema), "hits")
+def index_hits(spark: SparkSession, index: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs that
+    build_index() has put into the index, by the test items (item_id, text)."""
+    hits, scratch = None, []
+    for plan in plans(items):
+        found, path = stored(spark, _query(spark, index, plan, _hits, HITS), "hits")
+        scratch.append(path)
+        hits = found if hits is None else hits.unionByName(found)
+    # a row's hits are few: runs of words of one text
+    merged = hits.groupBy("shard", "nth").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    merged, path = stored(
+        spark, merged.mapInArrow(_digest, "shard long, nth int, n_hit long, n_items long, items_sha256 string"), "digests"
+    )
+    scratch.append(path)
+    if merged.count() <= BROADCAST_HITS:
+        merged = F.broadcast(merged)
+    every = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("nth", "row"))
+    rows = every.select("shard", "nth", "row.*").join(merged, ["shard", "nth"], "left")
+    none = hashlib.sha256(b"").hexdigest()
+    result = rows.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    ).checkpoint()
+    for path in scratch:
         remove(spark, path)
-        parts.append(hits.withColumnRenamed("doc_id", "row"))
-    remove(spark, texts)
-    return _merged(ids, parts).mapInArrow(_digest, digest)
-
-
-def _merged(ids: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Hits (row, n_words, runs, items) of blocks of items, with the ids (row, doc_id)."""
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, ids)
-    return every.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"),
-    ).drop("row")
+    return result
+
+
+def document_hits(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """index_hits() of an index that is built for the occasion."""
+    index, path = build_index(spark, docs)
+    result = index_hits(spark, index, items)
+    remove(spark, path)
+    return result

@@ -127,6 +127,16 @@ def test_labelled_sample_leaves_out_fold_nulls_and_conflicts(spark):
     assert labelled_sample(docs.limit(0), labels, "toxic", 5, 0, 4).count() == 0
 
 
+def test_labelled_sample_has_one_row_a_document(spark):
+    rows = [(1, f"text {i % 7}") for i in range(500)] + [(2, "two"), (2, None), (3, "three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", 1, 1, 2).collect()
+    assert len(got) == 2 and len({r.doc_id for r in got}) == 2
+    again = labelled_sample(docs.repartition(2), labels, "quality", 1, 1, 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, labelled_sample(docs, labels, "quality", 1, 1, 3).collect()))
+
+
 def test_scores_of_null_empty_and_clashing_columns(spark):
     prepare(spark)
     docs = spark.createDataFrame([(1, None, 1.0), (2, "", 2.0), (None, "x" * 50_000, 3.0)], "doc_id long, text string, score double")
