@@ -1,14 +1,17 @@
 """Toxicity by logistic regression with a counterfactual penalty.
 
 A text shows which words and word beginnings occur in it, hashed. Of these features those that
-tell the labelled classes apart are kept, and the features of identity terms always are. Each
-labelled text with identity terms is paired with its copies in which a term is exchanged for
-another of its group; squared differences of the two scores' log odds are added to the loss,
-so that a mention of a group by itself cannot move a score far.
+tell the labelled classes apart are kept, and the features of identity terms always are. In each
+labelled text, every identity term among its words is exchanged for the others of its group, and
+the features of the new sentence are computed; a text without such terms gets one inserted, and
+that one exchanged. Squared differences of the log odds of a sentence and its counterpart are
+added to the loss, so that a mention of a group by itself cannot move a score far.
 
 Every text gets a score; null counts as empty, and an empty text has the score of the
 intercept. Nothing but the text enters a score. Without labelled rows of both classes, every
-score is the share of toxic rows (0 without rows).
+score is the share of toxic rows (0 without rows). Rows that repeat a doc_id are scored by their
+own text each and are one row in training; rows without an id are scored and never trained on. A
+score of exactly the threshold is toxic. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -63,8 +66,35 @@ def buckets(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(k) % BUCKETS for k in keys]
 
 
+def features(sentence: list[bytes]) -> set[int]:
+    return {b for w in set(sentence) for b in buckets(w)}
+
+
 def _distinct(text: str) -> list[int]:
-    return sorted({b for w in set(words(text)) for b in buckets(w)})
+    return sorted(features(words(text)))
+
+
+#: Identity terms as words of a text, and the group of each.
+GROUPS = [[t.encode().translate(_LETTERS) for t in group] for group in IDENTITY]
+GROUP_OF = {term: group for group in GROUPS for term in group}
+
+
+def counterfactuals(text: str) -> list[list[int]]:
+    """Features that go and features that come, in turn, for every exchange of one identity term
+    of the text for another of its group. Without any, a term that follows from the text's hash
+    is put in front, then exchanged for the next of its group."""
+    own = words(text)
+    shown = features(own)
+    pairs = []
+    for a in sorted(GROUP_OF.keys() & set(own)):
+        pairs += [(shown, features([b if w == a else w for w in own])) for b in GROUP_OF[a] if b != a]
+    if not pairs:
+        chance = xxhash.xxh3_64_intdigest(text)
+        group = GROUPS[chance % len(GROUPS)]
+        at = (chance >> 16) % len(group)
+        one, two = (features([group[i % len(group)], *own]) for i in (at, at + 1))
+        pairs = [(shown, one), (one, two)]
+    return [side for x, y in pairs for side in (sorted(x - y), sorted(y - x))]
 
 
 @dataclass
@@ -122,21 +152,8 @@ def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return order[z[order] > 2]
 
 
-def counterfactuals(rows: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, features removed, features added) for every exchange of one identity term."""
-    named = [[np.array(buckets(t.encode().translate(_LETTERS))) for t in group] for group in IDENTITY]
-    out = []
-    for i, row in enumerate(rows):
-        present = set(row.tolist())
-        for group in named:
-            for a in group:
-                if int(a[0]) in present:
-                    out += [(i, a, b) for b in group if b is not a]
-    return out
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """rows: the distinct features of each text."""
+def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[list[list[int]]], penalty: float = COUNTERFACTUAL) -> Model:
+    """rows: the distinct features of each text; pairs: its counterfactuals()."""
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
@@ -145,25 +162,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         seen.setdefault(row.tobytes() + bytes([int(y[i])]), i)
     kept = sorted(seen.values())
     rows, y = [rows[i] for i in kept], y[kept].astype(float)
+    changes = [side for i in kept for side in pairs[i]]
     identity = [b for group in IDENTITY for t in group for b in buckets(t.encode().translate(_LETTERS))]
-    features = np.unique(np.r_[select(rows, y), np.array(identity)])
+    chosen = np.unique(np.r_[select(rows, y), np.array(identity)])
     column = np.full(BUCKETS, -1)
-    column[features] = np.arange(len(features))
+    column[chosen] = np.arange(len(chosen))
 
     def sparse(sets):
         at = [column[s][column[s] >= 0] for s in sets]
         return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at) if at else np.empty(0, int)
 
     r, c = sparse(rows)
-    pairs = counterfactuals(rows)
-    pr, pc, ps = [], [], []
-    for k, (_, gone, come) in enumerate(pairs):
-        for sets, sign in ((gone, 1.0), (come, -1.0)):
-            pr += [k] * len(sets)
-            pc += column[sets].tolist()
-            ps += [sign] * len(sets)
-    pr, pc, ps = np.array(pr, int), np.array(pc, int), np.array(ps)
-    n, d = len(rows), len(features)
+    # features that go and features that come by turns, two entries a change
+    changed, pc = sparse([np.array(x, np.int64) for x in changes])
+    pr, ps = changed // 2, np.where(changed % 2 == 0, 1.0, -1.0)
+    m = len(changes) // 2 if penalty else 0
+    n, d = len(rows), len(chosen)
     # toxic rows are few, and to miss one is worse: together they weigh more than their share
     weight = np.where(y == 1, y.mean(), 1 - y.mean()) ** -BALANCE
     weight /= weight.mean()
@@ -172,9 +186,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     r, c = np.r_[r, np.arange(n)], np.r_[c, np.full(n, d)]
     filled = np.bincount(r, minlength=n)
     bound = 0.25 / n * np.bincount(c, (weight * filled)[r], minlength=d + 1) + RIDGE
-    if len(pairs):
-        moved = np.bincount(pr, minlength=len(pairs))
-        bound += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(pc, moved[pr], minlength=d + 1)
+    if m:
+        moved = np.bincount(pr, minlength=m)
+        bound += 2 * penalty / m * np.bincount(pc, moved[pr], minlength=d + 1)
     ridge = np.r_[np.full(d, RIDGE), 0.0]
     w = np.zeros(d + 1)
     w[d] = np.log(y.mean() / (1 - y.mean()))
@@ -183,15 +197,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         odds = np.bincount(r, ahead[c], minlength=n)
         error = weight * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) / n
         slope = np.bincount(c, error[r], minlength=d + 1) + ridge * ahead
-        if len(pairs):
-            change = np.bincount(pr, ahead[pc] * ps, minlength=len(pairs))
-            slope += 2 * COUNTERFACTUAL / len(pairs) * np.bincount(pc, ps * change[pr], minlength=d + 1)
+        if m:
+            change = np.bincount(pr, ahead[pc] * ps, minlength=m)
+            slope += 2 * penalty / m * np.bincount(pc, ps * change[pr], minlength=d + 1)
         new = ahead - slope / bound
         if (ahead - new) @ (bound * (new - w)) > 0:  # the push points uphill: start afresh
             pace = 1.0
         grown = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, w, pace = new + (pace - 1) / grown * (new - w), new, grown
-    return Model({int(f): float(x) for f, x in zip(features, w[:d], strict=True) if x}, float(w[d]))
+    return Model({int(f): float(x) for f, x in zip(chosen, w[:d], strict=True) if x}, float(w[d]))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bound: int = MAX_TRAINING) -> Model:
@@ -201,12 +215,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bou
     def shown(text: pd.Series) -> pd.Series:
         return text.map(_distinct)
 
+    @F.pandas_udf("array<array<int>>")
+    def exchanged(text: pd.Series) -> pd.Series:
+        return text.map(counterfactuals)
+
     sample = labelled_sample(docs, labels, "toxic", folds, held, bound)
-    found = sample.select("doc_id", "y", shown("text").alias("x")).toArrow().sort_by("doc_id").combine_chunks()
+    sample = sample.select("doc_id", "y", shown("text").alias("x"), exchanged("text").alias("pairs"))
+    found = sample.toArrow().sort_by("doc_id").combine_chunks()
     lists = found.column("x").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
     rows = [flat[a:b] for a, b in zip(np.r_[0, ends].astype(int)[:-1], ends.astype(int), strict=True)]
-    return fit(rows, found.column("y").to_numpy())
+    return fit(rows, found.column("y").to_numpy(), found.column("pairs").to_pylist())
 
 
 def score(model: Model, text: Column) -> Column:
