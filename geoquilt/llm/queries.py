@@ -82,9 +82,17 @@ def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARRIVALS = 6
 
 
-def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _arrived(spark: SparkSession, sf_dir: str) -> compaction.ShardStore:
+    """A store of documents, appended one arrival after the other: by the id's remainder."""
     store = compaction.ShardStore(spark, workspace(spark, "shards"))
-    store.append(table(spark, sf_dir, "documents"), ARRIVALS)
+    docs = table(spark, sf_dir, "documents")
+    for i in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)) == i))
+    return store
+
+
+def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _arrived(spark, sf_dir)
     store.compact()
     store.vacuum()
     return store.read()
@@ -93,6 +101,26 @@ def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = "SELECT * FROM documents"
 
 
+def shard_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version, n_rows, merged) of op7's store: an arrival a version, then the compacted one, in
+    which no tier is left that could be merged and fewer shards than arrivals brought."""
+    store = _arrived(spark, sf_dir)
+    last = store.compact()
+    shards = {v: store.shards(v) for v in (*range(1, ARRIVALS + 1), last)}
+    done = not compaction.due(shards[last], compaction.TARGET_BYTES) and len(shards[last]) < len(shards[ARRIVALS])
+    rows = None
+    for nth, v in enumerate(shards, 1):
+        one = store.read(v).agg(F.lit(nth).cast("long").alias("version"), F.count("*").alias("n_rows"), F.lit(v > ARRIVALS and done).alias("merged"))
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
+SHARD_VERSIONS_SQL = f"""
+SELECT version::BIGINT AS version, (SELECT count(*) FROM documents WHERE coalesce(doc_id, 0) % {ARRIVALS} < version) AS n_rows,
+  version > {ARRIVALS} AS merged FROM range(1, {ARRIVALS + 2}) t(version)
+"""
+
+
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -179,6 +207,7 @@ def queries() -> dict[str, Query]:
         op8_quadratic_discriminant,
         op9_byte_level_bpe,
         op10_consensus_html_extraction,
+        shard_versions,
     )}
 
 
@@ -187,4 +216,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_parity_sketch_join": OP3_SQL,
         "op4_positional_index_decontamination": OP4_SQL,
         "op7_size_tiered_compaction": OP7_SQL,
+        "shard_versions": SHARD_VERSIONS_SQL,
     }
