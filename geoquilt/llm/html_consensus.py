@@ -1,8 +1,9 @@
 """Main text of web pages by consensus paths of their hosts.
 
 A page is read once from left to right into containers (article, div, ...), each with a
-generalised path of tags and classes (digits count as one sign), and blocks of text. Containers
-are scored by their own blocks and, less, by those of containers inside them. Every page votes
+generalised path of tags and classes (digits count as one sign), and blocks of text. A path is
+a number of eight bytes, made from its parent's and its own tag and classes, so that deep pages
+cost no more than flat ones. Containers are scored by their own blocks and, less, by those of containers inside them. Every page votes
 for the path of its best container; the path of a host with the most votes wins, and each page
 of the host is then read from the containers on that path. A page without such a container is
 read from its own best one.
@@ -10,7 +11,9 @@ read from its own best one.
 Boilerplate (menus, footers, sidebars, adverts, forms, comments, ...) is told by tag, role or
 class and takes no part. Character references are decoded, white space in a block becomes one
 space, blocks are joined by a line feed. Null and empty pages have an empty text. Pages without
-a url (or without `://`) share the empty host. Every row gives one row; repeated rows repeat.
+a url (or without `://`) share the empty host. Every row gives one row; repeated rows repeat. An
+empty table gives an empty one. Pages are read in time and memory linear in their length, however
+deep their elements are nested. Columns of pages other than `carry`, url and html are not read.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Hosts whose winning paths are broadcast (some 100 bytes each); beyond, Spark joins by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Bytes of hosts whose winning paths are broadcast; beyond, Spark joins by shuffle.
+BROADCAST_BYTES = 32 << 20
 #: What a container inherits of the score of one inside it; what the tags and classes of main
 #: text multiply a score by.
 INHERITED, MAIN_TAG, MAIN_CLASS = 0.8, 1.5, 1.25
@@ -69,7 +74,7 @@ class Page:
     """Containers by number: parent, path, score of own blocks, factor; blocks in order."""
 
     parent: list[int] = field(default_factory=list)
-    path: list[str] = field(default_factory=list)
+    path: list[int] = field(default_factory=list)
     own: list[float] = field(default_factory=list)
     factor: list[float] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
@@ -88,7 +93,7 @@ class Page:
         i = max(range(len(score)), key=lambda i: (score[i], -i))
         return i if score[i] > 0 or self.blocks else None
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """Of the containers on the path or, if there are none, of the best one."""
         chosen = {i for i, p in enumerate(self.path) if p == path}
         if len(chosen) > 1:  # lists of links on the same path are left out, if they aren't all
@@ -131,10 +136,23 @@ def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
     return classes, boiler, main, header
 
 
+def step(path: int, name: str) -> int:
+    """The path of an element of this tag and these classes inside one of a path."""
+    return xxhash.xxh3_64_intdigest(name, path) >> 1
+
+
+def path_of(*names: str) -> int:
+    """Of tags with classes from the root on: path_of("html", "body", "div.main")."""
+    return reduce(step, names, 0)
+
+
 def parse(source: str) -> Page:
-    page = Page([-1], ["html"], [0.0], [0.5], [])
+    page = Page([-1], [path_of("html")], [0.0], [0.5], [])
     # open elements: (tag, container, whether boilerplate, whether inside a link)
     stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]
+    # where in the stack the elements of each tag, and those that are blocks, are open
+    places: dict[str, list[int]] = {}
+    open_blocks: list[int] = []
     parts: list[str] = []
     linked = 0
     at = 0
@@ -161,15 +179,25 @@ def parse(source: str) -> Page:
             if top[3]:
                 linked += len(text)
 
-    def close(tags, until=()):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                if any(s[0] in BLOCKS for s in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(k: int):
+        """Ends the open elements from the k-th on."""
+        for tag, *_ in stack[k:]:
+            places[tag].pop()
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
+        del stack[k:]
+
+    def close(tags, barrier: int):
+        """Ends the last open element of these tags and what is inside it, unless it is outside
+        the open element that the barrier names."""
+        k = last(tags)
+        if k > barrier:
+            if open_blocks and open_blocks[-1] >= k:
+                flush()
+            cut(k)
 
     while True:
         m = _TAG.search(source, at)
@@ -186,11 +214,10 @@ def parse(source: str) -> Page:
             if tag == "br":
                 add(" ")
             elif tag in BLOCKS:
-                if any(s[0] == tag for s in stack):
-                    close((tag,), ())
+                close((tag,), 0)
                 flush()
             else:
-                close((tag,), BLOCKS)
+                close((tag,), open_blocks[-1] if open_blocks else 0)
             continue
         if tag in RAW:
             # white space stays: the words around it are apart only if the page says so
@@ -202,28 +229,31 @@ def parse(source: str) -> Page:
             add(" ")
             continue
         if tag in BLOCKS:
-            close(("p",), ("td", "th", "table", "button"))
+            close(("p",), last(("td", "th", "table", "button")))
             flush()
             if tag in _SIBLINGS:
                 tags, until = _SIBLINGS[tag]
-                close(tags.split(), until)
+                close(tags.split(), last(until))
             elif tag[0] == "h" and tag[1:].isdigit() and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit():
-                stack.pop()
+                cut(len(stack) - 1)
         if tag in VOID:
             continue
         classes, marked, main, named_header = _marks(m[3] or m[6] or "")
         _, container, boiler, link = stack[-1]
         # the header of an article belongs to it; that of the page does not
-        header = (tag == "header" or named_header) and not any(s[0] in ("article", "main") for s in stack)
+        header = (tag == "header" or named_header) and not last(("article", "main"))
         marked = (marked or header) and tag not in ("html", "body", "main") and not (tag == "article" and main)
         boiler = boiler or marked or tag in BOILERPLATE
         if tag in CONTAINERS and not boiler:
             page.parent.append(container)
-            page.path.append(f"{page.path[container]}>{tag}{classes}")
+            page.path.append(step(page.path[container], tag + classes))
             page.own.append(0.0)
             factor = MAIN_TAG if tag in ("article", "main") else 1.0
             page.factor.append(factor * (MAIN_CLASS if main else 1.0))
             container = len(page.path) - 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append((tag, container, boiler, link or tag == "a"))
     flush()
     return page
@@ -244,7 +274,7 @@ def _votes(batches):
                 paths.append(page.path[best])
         votes = [1] * len(hosts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())],
+            [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(votes, pa.int64())],
             names=["__host", "__path", "votes"],
         )
 
@@ -263,9 +293,9 @@ def _extract(batches):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(__host, __path): the path with the most votes of each host; of equals the last by name."""
+    """(__host, __path): the path with the most votes of each host; of equals the greatest number."""
     rows = pages.select(host(F.col("url")).alias("__host"), F.coalesce("html", F.lit("")).alias("__html"))
-    votes = rows.mapInArrow(_votes, "__host string, __path string, votes long")
+    votes = rows.mapInArrow(_votes, "__host string, __path long, votes long")
     sums = votes.groupBy("__host", "__path").agg(F.sum("votes").alias("votes"))
     best = sums.groupBy("__host").agg(F.max(F.struct("votes", "__path")).alias("best"))
     return best.select("__host", F.col("best.__path").alias("__path"))
@@ -274,7 +304,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, carry: list[str], paths: DataFrame | None = None) -> DataFrame:
     """The columns `carry` of pages (url, html, ...), then text and n_chars in code points."""
     paths = winning_paths(pages).checkpoint() if paths is None else paths
-    if paths.count() <= BROADCAST_HOSTS:
+    if (paths.agg(F.sum(F.octet_length("__host") + 40)).first()[0] or 0) <= BROADCAST_BYTES:
         paths = F.broadcast(paths)
     rows = pages.select(*carry, host(F.col("url")).alias("__host"), F.coalesce("html", F.lit("")).alias("__html"))
     fields = [f for f in rows.schema.fields if f.name not in ("__host", "__html")]
