@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("geoquilt.llm")
 from geoquilt.llm import decontam, parity_join, queries
@@ -16,25 +17,25 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def brute_groups(rows):
-    sets = {}
+    """Ids may repeat, with other texts: each of an id's texts links it."""
+    sets = []
     for i, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    parent = {i: i for i in sets}
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    parent = {i: i for i, _ in sets}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    ids = sorted(sets)
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                u, v = sorted((root(a), root(b)))
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            both = len(a & b)
+            if both and 100 * both >= 75 * len(a | b):
+                u, v = sorted((root(i), root(j)))
                 parent[v] = u
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    return {i: (max(len(a) for j, a in sets if j == i), root(i)) for i in parent}
 
 
 def corpus(seed, n=120):
@@ -59,15 +60,29 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, parity_join.HOT), (2, 2), (3, 0)])
+def test_near_duplicates_equal_brute_force(spark, seed, hot):
+    """hot: 0 deals all buckets to many tasks."""
     prepare(spark)
     rows = corpus(seed) + [(0, None), (2, ""), (5, " \t\n"), (6, "one"), (8, "ONE"), (9, "one two"), (11, "É"), (12, "é")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.near_duplicates(spark, df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.near_duplicates(spark, df, hot).collect()}
     assert got == brute_groups(rows)
 
 
+def test_ids_with_several_texts(spark):
+    """What is like one of an id's texts is linked to what is like another."""
+    prepare(spark)
+    r = random.Random(9)
+    one, two, long = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(n)) for x, n in (("a", 90), ("b", 120), ("c", 20_000)))
+    rows = [(3, one), (5, one), (5, two), (9, two), (7, two + " more"), (11, None), (11, two), (13, ""), (13, "x y"), (2, "x y"), (5, two)]
+    rows += [(20, long), (21, long + " end"), (21, "other words of the same id that nothing else has")]
+    rows += [(i, f"{t} {i}") for i, (_, t) in enumerate(corpus(4, 40), 4) for _ in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in parity_join.near_duplicates(spark, df).collect()}
+    assert got == brute_groups(rows) and got[7][1] == got[9][1] == got[3][1]
+
+
 def test_near_duplicates_of_a_large_group_and_odd_rows(spark):
     prepare(spark)
     r = random.Random(5)
@@ -101,7 +116,7 @@ def test_sketch_pieces_bound_the_difference():
             both = len(np.intersect1d(a, b))
             if 4 * both >= 3 * (len(a) + len(b) - both):
                 counts = rng.integers(1, 9, len(common))
-                keys = [set(parity_join.piece_keys(x, common, counts).tolist()) for x in (a, b)]
+                keys = [set(parity_join.piece_keys(x, common, counts)[0].tolist()) for x in (a, b)]
                 assert keys[0] & keys[1], (n, drop, grow)
 
 
@@ -161,33 +176,35 @@ def test_document_hits_equal_brute_force(spark, seed):
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
 
 
-def test_blocks_of_items_merge(spark, monkeypatch):
-    prepare(spark)
-    docs, items = leaky(3)
-    docs = [d for d in docs if d[0] not in (None, 62)]
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 20)
-    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(r) for r in decontam.document_hits(spark, frame, tests).collect())
-    assert got == sorted((i, *brute_hits(t, items)) for i, t in docs)
-
-
-def test_blocks_of_items_keep_every_row(spark, monkeypatch):
+@pytest.mark.parametrize("words_of_a_block", [1, 20, 200_000])
+def test_blocks_of_items_merge(spark, monkeypatch, words_of_a_block):
     """Repeated rows and rows without an id stay apart, whatever the number of blocks."""
     prepare(spark)
     docs, items = leaky(3)
-    docs += [(None, "clean text"), (None, "t1 t2"), (None, None), (62, " clean" * 30)]
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 20)
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    tests = spark.createDataFrame(items, "item_id long, text string")
+    docs += [(None, "clean text"), (None, "t1 t2"), (None, None), (62, " clean" * 30), (70, "long " * 200_000 + items[11][1])]
+    items = items if words_of_a_block > 1 else items[8:]
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", words_of_a_block)
+    frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int").repartition(3)
+    tests = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
     got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in decontam.document_hits(spark, frame, tests).collect())
     assert got == sorted((-1 if i is None else i, *brute_hits(t, items)) for i, t in docs)
 
 
+def test_one_index_serves_several_benchmarks(spark):
+    prepare(spark)
+    docs, items = leaky(4)
+    index, _ = decontam.build_index(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    for some in (items[:6], items[6:]):
+        tests = spark.createDataFrame(some, "item_id long, text string")
+        got = sorted((r.doc_id or -1, *r[1:]) for r in decontam.index_hits(spark, index, tests).collect())
+        assert got == sorted((i or -1, *brute_hits(t, some)) for i, t in docs)
+
+
 def test_phrase_and_proximity_matches(spark):
     prepare(spark)
     docs = [(1, "zero alpha beta gamma end"), (2, "gamma x beta y alpha"), (3, "alpha beta"), (4, "gamma")]
     plan = decontam.Plan.of([("i", "Alpha beta, gamma")])
-    index, _ = decontam.build_index(spark, spark.createDataFrame(docs, "doc_id long, text string"), plan)
+    index, _ = decontam.build_index(spark, spark.createDataFrame(docs, "doc_id long, text string"))
     exact = [(r.doc_id, r.item, r.item_word, r.doc_word) for r in decontam.matches(spark, index, plan).collect()]
     assert exact == [(1, "i", 0, 1)]
     near = {r.doc_id for r in decontam.matches(spark, index, plan, reach=4).collect()}
