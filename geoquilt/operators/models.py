@@ -27,8 +27,11 @@ SEED = 42
 SILHOUETTE_SAMPLE = 10_000
 #: Starts of a k-means, of which the one with the least inertia holds.
 STARTS = 3
-#: Rounds of boosting.
-ROUNDS = 1000
+#: Centres up to which all go to every row.
+MOST_CENTRES = 1000
+#: Rounds of boosting, depth of a tree, its weight, the share of rows it sees, value ranges of a
+#: feature; rows up to which a model is boosted in memory.
+ROUNDS, DEPTH, RATE, SEEN, VALUE_RANGES, BOOSTED = 1000, 3, 0.1, 0.8, 64, 200_000
 SILHOUETTE_BLOCK = 512
 
 
@@ -97,13 +100,22 @@ def clusters(
 
 
 def nearest_centre(df: DataFrame, centres: DataFrame, radius: float = 0.015, x: str = "x", y: str = "y") -> DataFrame:
-    """With `centre` and `distance`: the nearest of a few given centres (centre, cx, cy), null
-    beyond a radius; of equals the least. The centres go to every row as one array, so that
-    nothing is shuffled."""
-    few = centres.agg(F.collect_list(F.struct("centre", "cx", "cy")).alias("__cs"))
+    """With `centre` and `distance`: the nearest of given centres (centre, cx, cy), null beyond a
+    radius; of equals the least. Up to MOST_CENTRES go to every row as one array, so that nothing
+    is shuffled. Of more, a row meets those of its cell of a grid as wide as the radius and of the
+    eight around it, which hold all that are near enough."""
     away = lambda c: g.planar_distance(F.col(x), F.col(y), c["cx"], c["cy"])
     ranked = F.transform("__cs", lambda c: F.struct(away(c).alias("d"), c["centre"].alias("centre")))
-    near = df.join(F.broadcast(few)).withColumn("__b", F.array_min(ranked))
+    listed = F.collect_list(F.struct("centre", "cx", "cy")).alias("__cs")
+    if centres.limit(MOST_CENTRES + 1).count() <= MOST_CENTRES:
+        near = df.join(F.broadcast(centres.agg(listed)))
+    else:
+        cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        spread = centres.withColumn("__gx", around("cx")).withColumn("__gy", around("cy"))
+        lists = spread.groupBy("__gx", "__gy").agg(listed)
+        near = df.withColumns({"__gx": cell(x), "__gy": cell(y)}).join(lists, ["__gx", "__gy"], "left").drop("__gx", "__gy")
+    near = near.withColumn("__b", F.array_min(ranked))
     inside = F.col("__b.d") < radius
     out = near.withColumns({"centre": F.when(inside, F.col("__b.centre")), "distance": F.when(inside, F.col("__b.d"))})
     return out.drop("__cs", "__b")
@@ -251,24 +263,101 @@ def best_k_by_group(
     return df.groupBy(by).applyInPandas(one, f"{by} {dict(df.dtypes)[by]}, k int")
 
 
+class Boosted:
+    """Regression trees, each fitted to what the ones before leave, on features in ranges."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, seed: int = SEED):
+        shares = np.arange(1, VALUE_RANGES) / VALUE_RANGES
+        self.cuts = [np.unique(np.quantile(c, shares, method="lower")) if len(c) else np.empty(0) for c in x.T]
+        codes = self._codes(x)
+        self.base = float(y.mean()) if len(y) else 0.0
+        #: by round: feature and range of each inner node, top first, then values of the leaves
+        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rng, left = np.random.default_rng(seed), y - self.base
+        for _ in range(rounds if len(y) else 0):
+            seen = rng.random(len(y)) < SEEN
+            if not seen.any():
+                continue
+            tree = self._grown(codes[seen], left[seen])
+            self.trees.append(tree)
+            left = left - self._leaf(tree, codes)
+
+    def _codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(cut, c, "left") for cut, c in zip(self.cuts, x.T, strict=True)], 1)
+
+    @staticmethod
+    def _grown(codes: np.ndarray, rest: np.ndarray):
+        n, m = codes.shape
+        feature, limit = np.zeros(2**DEPTH - 1, int), np.full(2**DEPTH - 1, VALUE_RANGES)
+        node, wide = np.zeros(n, int), VALUE_RANGES
+        for level in range(DEPTH):
+            first, nodes = 2**level - 1, 2**level
+            best = np.full(nodes, 1e-12)
+            for f in range(m):
+                at = node * wide + codes[:, f]
+                count = np.bincount(at, minlength=nodes * wide).reshape(nodes, wide).cumsum(1)
+                total = np.bincount(at, rest, nodes * wide).reshape(nodes, wide).cumsum(1)
+                n1, s1 = count[:, :-1], total[:, :-1]
+                n2, s2 = count[:, -1:] - n1, total[:, -1:] - s1
+                gain = np.where((n1 > 0) & (n2 > 0), s1**2 / np.maximum(n1, 1) + s2**2 / np.maximum(n2, 1), 0.0)
+                gain -= np.where(gain > 0, total[:, -1:] ** 2 / np.maximum(count[:, -1:], 1), 0.0)
+                cut = gain.argmax(1)
+                gain = gain[np.arange(nodes), cut]
+                better = np.flatnonzero(gain > best)
+                best[better], feature[first + better], limit[first + better] = gain[better], f, cut[better]
+            split = first + node
+            node = 2 * node + (codes[np.arange(n), feature[split]] > limit[split])
+        leaves = 2**DEPTH
+        return feature, limit, RATE * np.bincount(node, rest, leaves) / np.maximum(np.bincount(node, minlength=leaves), 1)
+
+    @staticmethod
+    def _leaf(tree, codes: np.ndarray) -> np.ndarray:
+        feature, limit, value = tree
+        node, rows = np.zeros(len(codes), int), np.arange(len(codes))
+        for level in range(DEPTH):
+            at = 2**level - 1 + node
+            node = 2 * node + (codes[rows, feature[at]] > limit[at])
+        return value[node]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        codes, out = self._codes(x), np.full(len(x), self.base)
+        for tree in self.trees:
+            out += self._leaf(tree, codes)
+        return out
+
+
+def _boosted(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    rows = train.select(*[F.col(c).cast("double").alias(c) for c in (*columns, target)]).toPandas()
+    model = Boosted(rows[list(columns)].to_numpy(float), rows[target].to_numpy(float))
+
+    @F.pandas_udf("double")
+    def predicted(*features: pd.Series) -> pd.Series:
+        return pd.Series(model.predict(np.stack([f.to_numpy(float) for f in features], 1)))
+
+    return test.withColumn("prediction", predicted(*[F.col(c).cast("double") for c in columns]))
+
+
 def forecasts(train: DataFrame, test: DataFrame, columns: Sequence[str], target: str = "value", kind: str = "linear") -> DataFrame:
     """test with `predicted`, rounded: by linear regression, a forest of 40 trees or 1,000 rounds of
-    boosting, whose lineage is cut by checkpoints."""
+    boosting. A boosted model of up to BOOSTED rows, which clusters times bins seldom exceed, is
+    fitted in memory; of more, by Spark, whose jobs for each round are cut by checkpoints."""
     makers = {
         "linear": lambda: LinearRegression(featuresCol="__v", labelCol=target),
         "forest": lambda: RandomForestRegressor(featuresCol="__v", labelCol=target, numTrees=40, featureSubsetStrategy="sqrt", minInstancesPerNode=4, seed=SEED),
-        "boosted": lambda: GBTRegressor(featuresCol="__v", labelCol=target, maxDepth=3, maxIter=ROUNDS, stepSize=0.1, subsamplingRate=0.8, seed=SEED),
+        "boosted": lambda: GBTRegressor(featuresCol="__v", labelCol=target, maxDepth=DEPTH, maxIter=ROUNDS, stepSize=RATE, subsamplingRate=SEEN, seed=SEED),
     }
     if kind not in makers:
         raise ValueError(f"no such model: {kind}")
-    context = train.sparkSession.sparkContext
-    if kind == "boosted" and not context.getCheckpointDir():
-        context.setCheckpointDir(files.scratch(train.sparkSession, "boosting"))
-    as_double = lambda d: d.withColumn(target, F.col(target).cast("double"))
-    model = makers[kind]().fit(assembled(as_double(train), columns))
-    out = model.transform(assembled(as_double(test), columns))
+    if kind == "boosted" and train.limit(BOOSTED + 1).count() <= BOOSTED:
+        out = _boosted(train, test, columns, target)
+    else:
+        context = train.sparkSession.sparkContext
+        if kind == "boosted" and not context.getCheckpointDir():
+            context.setCheckpointDir(files.scratch(train.sparkSession, "boosting"))
+        as_double = lambda d: d.withColumn(target, F.col(target).cast("double"))
+        out = makers[kind]().fit(assembled(as_double(train), columns)).transform(assembled(as_double(test), columns)).drop("__v")
     out = out.withColumn("predicted", F.round("prediction").cast("long"))
-    return out.withColumn("error", F.abs(F.col("predicted") - F.col(target))).drop("__v", "prediction")
+    return out.withColumn("error", F.abs(F.col("predicted") - F.col(target)).cast("double")).drop("prediction")
 
 
 def group_means(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,28 +19,72 @@ RANGES = 64
 LAST_TENTHS = tuple(round(99 + i / 10, 1) for i in range(10)) + (100,)
 
 
+def _positions(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(column, value, from, upto): the positions that each distinct value, a double, takes in its
+    sorted column, nulls left out; and (column, total). Distinct values are counted first, so that the
+    running count goes over these. It runs within value ranges of about equal size, cut at
+    approximate quantiles (one job when this is called), and over the ranges' totals: no task
+    sorts everything."""
+    cuts = df.approxQuantile(list(columns), [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)
+    splits = [[-math.inf, *(sorted(c for c in set(of) if math.isfinite(c)) or [0.0]), math.inf] for of in cuts]
+    named = [f"__{i}" for i in range(len(columns))]
+    doubles = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, named, strict=True)])
+    placed = Bucketizer(splitsArray=splits, inputCols=named, outputCols=[f"{n}_part" for n in named], handleInvalid="keep").transform(doubles)
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.col(n).alias("value"), F.col(f"{n}_part").cast("int").alias("part"))
+        for c, n in zip(columns, named, strict=True)
+    ]
+    rows = placed.select(F.explode(F.array(*pairs)).alias("s")).select("s.*").where(F.col("value").isNotNull())
+    ordered = rows.groupBy("column", "part", "value").agg(F.count("*").alias("n"))
+    within = F.sum("n").over(W.partitionBy("column", "part").orderBy("value"))
+    parts = ordered.groupBy("column", "part").agg(F.sum("n").alias("of_part"))
+    upto = F.sum("of_part").over(W.partitionBy("column").orderBy("part"))  # RANGES rows
+    before = parts.select("column", "part", (upto - F.col("of_part")).alias("before"))
+    placed = ordered.withColumn("within", within).join(F.broadcast(before), ["column", "part"])
+    placed = placed.select("column", "value", (F.col("before") + F.col("within")).alias("upto"), "n")
+    totals = ordered.groupBy("column").agg(F.sum("n").alias("total"))
+    return placed.select("column", "value", (F.col("upto") - F.col("n")).alias("from"), "upto"), totals
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(column, share, value): exact quantiles, between two values in proportion. Columns without
+    values have no rows."""
+    placed, totals = _positions(df, columns)
+    at = F.col("share") * (F.col("total") - 1)
+    asked = totals.select("column", "total", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    asked = asked.select("column", "share", F.floor(at).alias("low"), F.ceil(at).alias("high"), (at - F.floor(at)).alias("part"))
+    inside = lambda c: (F.col(c) >= F.col("from")) & (F.col(c) < F.col("upto"))
+    met = placed.join(F.broadcast(asked), "column").where(inside("low") | inside("high"))  # a few rows a column
+    ends = met.groupBy("column", "share", "part").agg(
+        F.max(F.when(inside("low"), F.col("value"))).alias("a"), F.max(F.when(inside("high"), F.col("value"))).alias("b")
+    )
+    return ends.select("column", "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: n, minimum, maximum, mean, median, sample deviation, negatives, zeros,
-    nulls and the share of nulls. One pass over all columns."""
+    nulls and the share of nulls. One pass over all columns, and the medians."""
     def stats(c):
         v = F.col(c).cast("double")
         return F.struct(
             F.lit(c).alias("column"), F.count("*").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("std"),
+            F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
             F.count_if(v < 0).alias("negatives"), F.count_if(v == 0).alias("zeros"), F.count_if(v.isNull()).alias("nulls"),
             F.try_divide(F.count_if(v.isNull()) * F.lit(100.0), F.count("*")).alias("null_percent"),
         )
 
-    row = df.agg(F.array(*[stats(c) for c in columns]).alias("all"))
-    return row.select(F.explode("all").alias("s")).select("s.*")
+    rows = df.agg(F.array(*[stats(c) for c in columns]).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    medians = quantiles(df, columns, [0.5]).select("column", F.col("value").alias("median"))
+    both = rows.join(F.broadcast(medians), "column", "left")  # a row a column
+    return both.select("column", "n", "min", "max", "mean", "median", "std", "negatives", "zeros", "nulls", "null_percent")
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std, min, quartiles (interpolated), max."""
     v = F.col(column).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    row = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return row.select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    row = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, [column], [0.25, 0.5, 0.75]).groupBy().pivot("share", [0.25, 0.5, 0.75]).agg(F.max("value")).toDF("q25", "q50", "q75")
+    return row.join(F.broadcast(q)).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")  # one row each
 
 
 def total_check(df: DataFrame, parts: Sequence[str], total: str, tolerance: float = 0.01) -> DataFrame:
@@ -85,21 +131,9 @@ def split_outliers(df: DataFrame, label: str, outlier=-1) -> tuple[DataFrame, Da
 
 def positional_percentiles(df: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:
     """(p, value): the value at position int(n * (p / 100)) of the sorted column, at 100 the last.
-    Nulls are left out. Distinct values are counted first, so that the running count that gives
-    positions goes over these; equal values share a range of positions. The count runs within
-    value ranges of about equal size, cut at approximate quantiles (one job when this is
-    called), and over the ranges' totals: no task sorts everything."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    cuts = sorted(set(df.approxQuantile(column, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))
-    below = F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("value"))
-    ordered = counts.withColumn("part", F.size(below))
-    within = F.sum("n").over(W.partitionBy("part").orderBy("value"))
-    parts = ordered.groupBy("part").agg(F.sum("n").alias("of_part"))
-    before = parts.select("part", (F.sum("of_part").over(W.orderBy("part")) - F.col("of_part")).alias("before"))
-    total = counts.agg(F.sum("n").alias("total"))
-    placed = ordered.withColumn("within", within).join(F.broadcast(before), "part")
-    placed = placed.select("value", (F.col("before") + F.col("within")).alias("upto"), "n").withColumn("from", F.col("upto") - F.col("n"))
-    asked = total.select("total", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p"))
+    Nulls are left out; equal values share a range of positions."""
+    placed, totals = _positions(df.select(column), [column])
+    asked = totals.select("total", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("p"))
     at = F.least(F.floor(F.col("total") * (F.col("p") / 100)), F.col("total") - 1)
     asked = asked.withColumn("at", at)
     # ranges are disjoint, and the asked few: each finds one row

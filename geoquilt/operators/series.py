@@ -139,47 +139,56 @@ def weighted_ratios(rows: DataFrame, bins: int, carry: bool = True) -> DataFrame
     return out.withColumn("error", F.when(first, 0).otherwise(F.abs(F.col("predicted") - F.col("value"))).cast("long"))
 
 
-def _smooth(rows: DataFrame, key: Column, items: Column, start: Column, merge) -> DataFrame:
-    """Folds a sequence's ordered array; the accumulator is (state, predictions)."""
-    arrays = rows.groupBy(key.alias("k")).agg(F.array_sort(F.collect_list(items)).alias("s"))
-    folded = F.aggregate("s", start, merge, lambda a: a["out"])
-    zipped = arrays.select(F.explode(F.arrays_zip(F.col("s"), folded.alias("p"))).alias("z"))
-    return zipped.select("z.s.*", F.col("z.p").alias("predicted"))
+def _scanned(rows: DataFrame, carry: bool, first_of: int, predict) -> DataFrame:
+    """With `predicted` and `error`: predict(rows of a sequence in order, whether each is the first
+    bin of a cluster). Each prediction depends on the one before, so a sequence is one task; it
+    reads it once."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", kind="stable")
+        first = (pdf["i"] % first_of == 0).to_numpy()
+        predicted = np.array(predict(pdf, first.tolist()), np.int64)
+        error = np.where(first, 0, np.abs(predicted - pdf["value"].to_numpy()))
+        return pdf[rows_columns].assign(predicted=predicted, error=error)
+
+    rows_columns = rows.columns
+    groups = rows.withColumn("__all", F.lit(0)).groupBy("__all") if carry else rows.groupBy("cluster")
+    return groups.applyInPandas(one, f"{kinds}, predicted long, error long")
 
 
 def exponential_ratios(rows: DataFrame, bins: int, alpha: float = 0.6, carry: bool = True) -> DataFrame:
     """int(given * r), then r = alpha r + (1 - alpha) ratio. The first bin of a cluster predicts 0
     and leaves r alone; r starts as the first ratio."""
     rows = numbered(rows, bins) if carry else rows.withColumn("i", F.col("bin"))
-    items = F.struct("i", "cluster", "bin", "given", "value", "ratio")
-    start = F.struct(F.lit(None).cast("double").alias("r"), F.array().cast("array<bigint>").alias("out"))
 
-    def merge(a, e):
-        first = e["i"] % bins == 0
-        r = F.coalesce(a["r"], e["ratio"])
-        predicted = F.when(first, F.lit(0)).otherwise((e["given"] * r).cast("long")).cast("long")
-        after = F.when(first, r).otherwise(r * alpha + e["ratio"] * (1 - alpha))
-        return F.struct(after.alias("r"), F.concat(a["out"], F.array(predicted)).alias("out"))
+    def predict(pdf: pd.DataFrame, first: list[bool]) -> list[int]:
+        out, r = [], None
+        for start, given, ratio in zip(first, pdf["given"].tolist(), pdf["ratio"].tolist(), strict=True):
+            r = ratio if r is None else r
+            out.append(0 if start else int(given * r))
+            if not start:
+                r = r * alpha + ratio * (1 - alpha)
+        return out
 
-    out = _smooth(rows, F.lit(0) if carry else F.col("cluster"), items, start, merge)
-    return out.withColumn("error", F.when(F.col("i") % bins == 0, 0).otherwise(F.abs(F.col("predicted") - F.col("value"))).cast("long"))
+    return _scanned(rows.select("i", "cluster", "bin", "given", "value", "ratio"), carry, bins, predict)
 
 
 def exponential_values(rows: DataFrame, bins: int, alpha: float = 0.3, carry: bool = True) -> DataFrame:
     """The state, then state = int(alpha state + (1 - alpha) value). The first bin of a cluster
     predicts 0 and leaves the state alone; the state starts as the first value."""
     rows = numbered(rows, bins) if carry else rows.withColumn("i", F.col("bin"))
-    items = F.struct("i", "cluster", "bin", F.col("value").cast("long").alias("value"))
-    start = F.struct(F.lit(None).cast("long").alias("r"), F.array().cast("array<bigint>").alias("out"))
 
-    def merge(a, e):
-        first = e["i"] % bins == 0
-        r = F.coalesce(a["r"], e["value"])
-        after = F.when(first, r).otherwise((r * F.lit(alpha) + e["value"] * F.lit(1 - alpha)).cast("long"))
-        return F.struct(after.alias("r"), F.concat(a["out"], F.array(F.when(first, F.lit(0)).otherwise(r).cast("long"))).alias("out"))
+    def predict(pdf: pd.DataFrame, first: list[bool]) -> list[int]:
+        out, state = [], None
+        for start, value in zip(first, pdf["value"].tolist(), strict=True):
+            state = value if state is None else state
+            out.append(0 if start else state)
+            if not start:
+                state = int(state * alpha + value * (1 - alpha))
+        return out
 
-    out = _smooth(rows, F.lit(0) if carry else F.col("cluster"), items, start, merge)
-    return out.withColumn("error", F.when(F.col("i") % bins == 0, 0).otherwise(F.abs(F.col("predicted") - F.col("value"))).cast("long"))
+    return _scanned(rows.select("i", "cluster", "bin", F.col("value").cast("long").alias("value")), carry, bins, predict)
 
 
 def forecast_error(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from geoquilt.functions import geometry as g
 from geoquilt.functions import vectors as v
 from geoquilt.operators import layout
+from geoquilt.operators.sides import few
 from geoquilt.operators.spatial import in_box
 from geoquilt.schema import Box, PointSet
 
@@ -49,7 +50,7 @@ def n_similar(points: PointSet, box: Box, ref: DataFrame, n: int, label: str = "
     rows = _candidates(points, box, ref).withColumn("d2", _d2(points))
     means = in_box(points.df, box).join(F.broadcast(ref.select("r_id"))).where("id <> r_id")
     means = means.groupBy(F.col(label).alias("m_label")).agg(*[F.avg(f).alias(f"m_{f}") for f in points.features])
-    joined = rows.join(means, F.col(label) == F.col("m_label"))
+    joined = rows.join(few(means), F.col(label) == F.col("m_label"))
     far = v.distance2([F.col(f"m_{f}") for f in points.features], [F.col(f"r_{f}") for f in points.features])
     own = F.col(label) == F.col(f"r_{label}")
     keyed = joined.select(
@@ -171,8 +172,8 @@ def microclusters(placed: PointSet, geo: str = "geo", attr: str = "attr", least:
     means = means.where(F.col("n") >= least)
     joined = placed.df.join(means, key)
     far = F.sqrt(v.distance2([F.col(f) for f in placed.features], [F.col(f"m_{f}") for f in placed.features]))
-    radius = joined.groupBy(*key).agg(F.max(far).alias("radius"))
-    return means.join(radius, key)
+    same = [F.any_value(c).alias(c) for c in ("n", *(f"m_{f}" for f in placed.features))]
+    return joined.groupBy(*key).agg(*same, F.max(far).alias("radius"))
 
 
 def microcluster_members(placed: DataFrame, geo: str = "geo", attr: str = "attr", least: int = 2) -> DataFrame:

@@ -10,6 +10,10 @@ from geoquilt.functions import geometry as g
 from geoquilt.schema import Box, PointSet
 
 
+#: Cells that a filter names; of more, points are joined with them.
+MOST_NAMED = 1000
+
+
 def in_box(points: DataFrame, box: Box) -> DataFrame:
     """All points of the closed box. Both ranges are pushed to the scan."""
     return points.where(box.contains("x", "y"))
@@ -36,18 +40,29 @@ def nearest_pruned(cells: DataFrame, points: DataFrame, x: float, y: float, k: i
         "cell", "n", (far_x * far_x + far_y * far_y).alias("far"),
         g.distance2_to_box(box, F.lit(x), F.lit(y)).alias("near"),
     )
+    known = reach.limit(MOST_NAMED + 1).collect()
+    if len(known) <= MOST_NAMED and "gx" in points.columns:
+        bound = _bound(sorted((r["far"], r["n"]) for r in known), k)
+        cells = [r["cell"] for r in known if bound is None or r["near"] <= bound]
+        slabs = sorted({int(c.split(":")[0]) for c in cells})
+        # literals, which prune the layout's directories and row groups
+        return nearest(points.where(F.col("gx").isin(slabs) & F.col("cell").isin(cells)), x, y, k)
     # the k cells of least `far` hold k points at least, as no cell is empty
-    first = reach.orderBy("far", "cell").limit(k).agg(F.sort_array(F.collect_list(F.struct("far", "n")))).first()[0]
-    held, bound = 0, None
-    for far, n in first:
-        held += n
-        if held >= k:
-            bound = far
-            break
+    bound = _bound(reach.orderBy("far", "cell").limit(k).agg(F.sort_array(F.collect_list(F.struct("far", "n")))).first()[0], k)
     wanted = reach if bound is None else reach.where(F.col("near") <= bound)
     return nearest(points.join(wanted.select("cell"), "cell", "left_semi"), x, y, k)
 
 
+def _bound(cells: list[tuple[float, int]], k: int) -> float | None:
+    """The distance within which cells (far, n), in order, hold k points; None if they don't."""
+    held = 0
+    for far, n in cells:
+        held += n
+        if held >= k:
+            return far
+    return None
+
+
 def without(points: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Points whose id is not among the deleted."""
     return points.join(tombstones.select("id"), "id", "left_anti")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoquilt.functions import geometry as g
@@ -126,13 +127,41 @@ def knn_embeddings(spark, sf):
     return near.select("id", r6("d2", "d2"), F.col("rank").cast("long").alias("rank"))
 
 
+_LAYOUTS: dict[tuple[str, str], str] = {}
+
+
+def _layout(spark, sf) -> DataFrame:
+    """The orders laid out in cells, written once a session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LAYOUTS:
+        path = files.scratch(spark, "layout")
+        layout.save(GRID.assign(orders(spark, sf).df), f"{path}/points")
+        layout.cell_stats(layout.load(spark, f"{path}/points")).coalesce(1).write.parquet(f"{path}/cells")
+        _LAYOUTS[key] = path
+    return layout.load(spark, f"{_LAYOUTS[key]}/points")
+
+
+def _cells(spark, sf) -> DataFrame:
+    _layout(spark, sf)
+    return spark.read.parquet(f"{_LAYOUTS[spark.sparkContext.applicationId, sf]}/cells")
+
+
 @query(_SQL["knn"])
 def knn_pruned(spark, sf):
-    placed = GRID.assign(orders(spark, sf).df)
-    near = spatial.nearest_pruned(layout.cell_stats(placed), placed, 150000.0, 1000.0, 25)
+    near = spatial.nearest_pruned(_cells(spark, sf), _layout(spark, sf), 150000.0, 1000.0, 25)
     return near.select("id", r6("d2", "d2"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_SQL["range_search"])
+def range_search_pruned(spark, sf):
+    return GRID.in_box(_layout(spark, sf), ORD_BOX).select("id", "x", "y")
+
+
+@query(f"WITH {ORD} SELECT count(*) AS n, sum(id)::BIGINT AS ids, round(sum(x), 2) AS x, round(sum(y), 2) AS y FROM ord")
+def scan_all(spark, sf):
+    return _layout(spark, sf).agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.round(F.sum("x"), 2).alias("x"), F.round(F.sum("y"), 2).alias("y"))
+
+
 @query(
     f"""WITH {ORD}, gone AS (SELECT id FROM ord WHERE x BETWEEN 140000 AND 160000 AND y BETWEEN 900 AND 1100 AND id % 2 = 0)
     SELECT id, round(d2, 6) AS d2 FROM (SELECT id, (x - 150000) * (x - 150000) + (y - 1000) * (y - 1000) AS d2
@@ -583,6 +612,95 @@ def binary_roundtrip(spark, sf):
     return again.select(F.col("id").cast("long").alias("id"), "x", "y", "geo", "attr", r9(f[0], "f0"), r9(f[1], "f1"))
 
 
+_CSVS: dict[tuple[str, str], str] = {}
+
+
+def points_csv(spark, sf) -> str:
+    """The orders as point CSV files, written once a session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CSVS:
+        path = files.scratch(spark, "csv")
+        rows = orders(spark, sf).df.select(F.col("geo").cast("int"), F.lit(1).alias("attr"), F.col("id").cast("int"), "x", "y", "f0", "f1")
+        files.write_csv(rows, path)
+        _CSVS[key] = path
+    return _CSVS[key]
+
+
+POINTS = f"WITH {ORD} SELECT id, x, y, geo, round(f0, 9) AS f0, round(f1, 9) AS f1 FROM ord"
+
+
+@query(POINTS)
+def csv_points(spark, sf):
+    found = files.read_points_csv(spark, files.first_existing(spark, [points_csv(spark, sf) + "-none", points_csv(spark, sf)]), 2)
+    return files.required(found.df, ["id", "x", "y"]).select(
+        F.col("id").cast("long").alias("id"), "x", "y", F.col("geo").cast("long").alias("geo"), r9("f0", "f0"), r9("f1", "f1")
+    )
+
+
+@query("SELECT count(*) AS n FROM orders")
+def csv_rows(spark, sf):
+    return spark.createDataFrame([(files.count_rows(spark, points_csv(spark, sf)),)], "n long")
+
+
+@query("SELECT least(count(*), 100)::BIGINT AS n, least(count(*), 100)::BIGINT AS ids FROM orders")
+def csv_limited(spark, sf):
+    some = files.read_points_csv(spark, points_csv(spark, sf), 2, limit=100).df
+    return some.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query(POINTS)
+def csv_to_binary(spark, sf):
+    path = files.scratch(spark, "converted")
+    binary.convert_csv(spark, points_csv(spark, sf), path, 2)
+    again = spark.read.format("pointfile").option("layout", binary.CLASSIC).load(path)
+    f = F.col("features")
+    return again.select(F.col("id").cast("long").alias("id"), "x", "y", F.col("geo").cast("long").alias("geo"), r9(f[0], "f0"), r9(f[1], "f1"))
+
+
+@query(f"WITH {ORD} SELECT id, x, y, geo AS label, row_number() OVER (ORDER BY x, y, id) AS place FROM ord")
+def sorted_export(spark, sf):
+    path = files.scratch(spark, "sorted")
+    rows = orders(spark, sf).df.select(F.col("id").cast("int").alias("id"), "x", "y", F.col("geo").cast("int").alias("label"), F.array("f0", "f1").alias("features"))
+    binary.sorted_export(rows, path)
+    found = spark.read.format("pointfile").option("layout", binary.COMPACT).load(path)
+    # files are named in their order, and a file of this size is one task: so ids rise with place
+    nth = found.select("*", F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(W.orderBy("at")).cast("long")
+    return nth.select(F.col("id").cast("long").alias("id"), "x", "y", F.col("label").cast("long").alias("label"), place.alias("place"))
+
+
+@query(f"WITH {ORD} SELECT count(*) + 2 AS n, sum(id)::BIGINT + 3000000001 AS ids, count(*) FILTER (x < 0) + 2 AS added FROM ord")
+def insert_points(spark, sf):
+    points = orders(spark, sf)
+    new = spark.createDataFrame([(1500000000, -1.0, -2.0), (1500000001, -3.0, -4.0)], "id long, x double, y double")
+    rest = [F.lit(None).cast(t).alias(c) for c, t in points.df.dtypes if c not in ("id", "x", "y")]
+    out = spatial.insert(points, new.select("*", *rest)).check_unique().df
+    return out.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_if(F.col("x") < 0).alias("added"))
+
+
+@query(f"WITH {ORD} SELECT {CELL} AS cell, max(CASE WHEN id % 5000 = 7 THEN 2 ELSE 1 END)::BIGINT AS version FROM ord GROUP BY 1")
+def cell_versions(spark, sf):
+    placed = GRID.assign(orders(spark, sf).df).withColumn("version", F.lit(1))
+    changed = layout.versions(placed, placed.where("id % 5000 = 7"), 2)
+    return changed.select("cell", F.col("version").cast("long").alias("version"))
+
+
+@query(
+    f"""WITH {BOXES} SELECT id, x0 AS low_x, y0 AS low_y, x1 AS high_x, y1 AS high_y,
+    x0 = 20 AND y0 = 20 AND x1 = 24 AND y1 = 22 AS same FROM boxes"""
+)
+def box_axes(spark, sf):
+    b = g.B.named("")
+    sides = {"low_x": g.lower(b, 0), "low_y": g.lower(b, 1), "high_x": g.upper(b, 0), "high_y": g.upper(b, 1)}
+    return _boxes(spark, sf).select("id", *[c.alias(n) for n, c in sides.items()], g.same(b, g.B.of(20, 20, 24, 22)).alias("same"))
+
+
+@query(f"WITH {ORD} SELECT id, geo FROM ord WHERE x < 50000 UNION ALL SELECT id, geo FROM ord WHERE {IN_ORD}")
+def union_of_boxes(spark, sf):
+    rows = orders(spark, sf).df.select("id", "geo", "x", "y")
+    return rows.where("x < 50000").unionByName(spatial.in_box(rows, ORD_BOX)).select("id", "geo")
+
+
 # Cleaning and profiles
 
 
@@ -645,6 +763,37 @@ def without_outliers(spark, sf):
     return cleaning.without_outliers(_trips(spark, sf), [("lat", "lon")], "miles", box=Box(5.0, 2.0, 30.0, 40.0)).select("id")
 
 
+@query("SELECT event_id AS id, value FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events) WHERE value IS NOT NULL")
+def dropped_nulls(spark, sf):
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    return cleaning.drop_nulls(rows, ["value"])
+
+
+@query("SELECT event_id AS id, round(CASE WHEN value - 100 > 0 THEN ln(value - 100) END, 9) AS log_value FROM events")
+def log_values(spark, sf):
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("value") - 100).alias("v"))
+    return rows.select("id", r9(cleaning.log_of("v"), "log_value"))
+
+
+@query("SELECT c_mktsegment AS segment, c_custkey::INT AS trip, c_acctbal AS amount FROM customer")
+def arranged_columns(spark, sf):
+    return cleaning.arranged(_table(spark, sf, "customer"), {"segment": "c_mktsegment", "trip": "c_custkey", "amount": "c_acctbal"}, {"trip": "int"})
+
+
+@query("SELECT p_partkey AS id, round_even(p_size / 8.0::DOUBLE, 2) AS size FROM part")
+def rounded_half_even(spark, sf):
+    rows = _table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 8.0).alias("size"))
+    return rows.select("id", cleaning.round_half_even("size", 2).alias("size"))
+
+
+@query("SELECT least(count(*), 200)::BIGINT AS n, least(count(*), 200)::BIGINT AS ids, true AS again FROM events")
+def sampled_rows(spark, sf):
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("id"), "value")
+    one, two = cleaning.sample(rows, 200), cleaning.sample(rows.repartition(3), 200)
+    out = one.join(two.select("id", F.lit(1).alias("there")), "id", "left")
+    return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), (F.count("there") == F.count("*")).alias("again"))
+
+
 @query(f"WITH {TRIP} SELECT count(*) AS n, round(avg(mph), 6) AS mph FROM trip WHERE minutes > 1 AND minutes < 720 AND mph > 0 AND mph < 45.31")
 def mean_speed(spark, sf):
     rows = _trips(spark, sf).where(cleaning.between_open("minutes", cleaning.MINUTES) & cleaning.between_open("mph", cleaning.SPEED))
@@ -982,12 +1131,107 @@ def series_peaks(spark, sf):
     return series.peaks(_series(spark, sf), 5)
 
 
-# Trained models and transforms: no SQL; the tests check their invariants
+EXP = """e AS (SELECT cluster, bin, value, value::BIGINT AS r, 0::BIGINT AS predicted FROM ser WHERE bin = 0
+  UNION ALL SELECT n.cluster, n.bin, n.value, trunc(e.r * 0.3::DOUBLE + n.value * 0.7::DOUBLE)::BIGINT, e.r
+  FROM e JOIN ser n ON n.cluster = e.cluster AND n.bin = e.bin + 1)"""
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SER}, {EXP}, w AS (SELECT cluster, bin, value, predicted AS exp_avg, lag(value, 5) OVER o AS ft_5, lag(value, 4) OVER o AS ft_4,
+    lag(value, 3) OVER o AS ft_3, lag(value, 2) OVER o AS ft_2, lag(value, 1) OVER o AS ft_1, ((bin // 4) % 7 + 4) % 7 AS weekday
+    FROM e WINDOW o AS (PARTITION BY cluster ORDER BY bin)) SELECT * FROM w WHERE ft_5 IS NOT NULL"""
+)
+def training_frame(spark, sf):
+    frame = series.training_frame(_series(spark, sf), _places(spark), BINS, 4).na.fill(-1)
+    return frame.select("cluster", "bin", "value", "exp_avg", "ft_5", "ft_4", "ft_3", "ft_2", "ft_1", "weekday")
+
+
+@query(
+    f"""WITH {SER}, d AS (SELECT cluster, k, sqrt(pow(sum(value * cos(2 * pi() * k * bin / {BINS})), 2) + pow(sum(value * sin(2 * pi() * k * bin / {BINS})), 2)) AS p
+      FROM ser, (SELECT unnest(range({BINS // 2 + 1})) AS k) GROUP BY 1, 2),
+    m AS (SELECT *, lag(p) OVER w AS b, lead(p) OVER w AS a FROM d WINDOW w AS (PARTITION BY cluster ORDER BY k)),
+    q AS (SELECT cluster, k, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, k) AS n FROM m WHERE p > b AND p > a)
+    SELECT cluster, count(*) AS n_peaks, """
+    + ", ".join(f"round(coalesce(max(k) FILTER (n = {i + 1}), 0) / {BINS}.0::DOUBLE, 9) AS f_{i}" for i in (0, 2, 4))
+    + " FROM q GROUP BY cluster"
+)
 def fft_features(spark, sf):
-    return series.spectrum_features(_series(spark, sf))
+    out = series.spectrum_features(_series(spark, sf))
+    return out.select("cluster", "n_peaks", r9("f_0", "f_0"), r9("f_2", "f_2"), r9("f_4", "f_4"))
+
+
+#: Components of two features, whose covariance matrix has roots in closed form.
+PLANE = f"""{ORD}, v AS (SELECT var_samp(f0) AS a, covar_samp(f0, f1) AS b, var_samp(f1) AS c FROM ord),
+  l AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS one, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS two FROM v),
+  u AS (SELECT *, one / (one + two) AS share, CASE WHEN a >= c THEN (one - c) ELSE abs(b) END / sqrt(pow(CASE WHEN a >= c THEN one - c ELSE abs(b) END, 2) +
+    pow(CASE WHEN a >= c THEN b ELSE one - a END, 2)) AS p, CASE WHEN a >= c THEN b ELSE (one - a) * CASE WHEN b < 0 THEN -1 ELSE 1 END END /
+    sqrt(pow(CASE WHEN a >= c THEN one - c ELSE abs(b) END, 2) + pow(CASE WHEN a >= c THEN b ELSE one - a END, 2)) AS q FROM l)"""
+
+
+def _plane(spark, sf):
+    return models.components(orders(spark, sf).df.select("id", "f0", "f1"), ["f0", "f1"], k=2)
+
+
+@query(f"WITH {PLANE} SELECT id, round(f0 * p + f1 * q, 4) + 0.0::DOUBLE AS pc1, round(f1 * p - f0 * q, 4) + 0.0::DOUBLE AS pc2 FROM ord, u")
+def pca_plane(spark, sf):
+    return _plane(spark, sf)[0].select("id", (F.round("PC1", 4) + 0.0).alias("pc1"), (F.round("PC2", 4) + 0.0).alias("pc2"))
+
+
+@query(f"WITH {PLANE} SELECT 1::BIGINT AS component, round(share, 6) AS share, round(share, 6) AS upto FROM u UNION ALL SELECT 2, round(1 - share, 6), 1.0 FROM u")
+def explained_variance(spark, sf):
+    rows = models.explained_variance([float(x) for x in _plane(spark, sf)[1]])
+    return spark.createDataFrame([(n, round(s, 6), round(t, 6)) for n, s, t in rows], "component long, share double, upto double")
+
+
+# Trained models and transforms, and queries of what has to hold for them
+
+
+@query(f"WITH {EMB} SELECT count(*) AS n, 8::BIGINT AS clusters, 0::BIGINT AS misplaced, true AS same_cost FROM emb")
+def kmeans_invariants(spark, sf):
+    """Every point has the label of its nearest centre; the cost, which is that before the last
+    move of the centres, is about the sum of the squares."""
+    points = emb(spark, sf).df.select("id", "x", "y")
+    found, centres, cost = models.clusters(points, ["x", "y"], 8)
+    table = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], "centre int, cx double, cy double")
+    near = models.nearest_centre(found, table, 1e9)
+    return near.agg(
+        F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("cluster") != F.col("centre")).alias("misplaced"),
+        (F.abs(F.sum(F.col("distance") * F.col("distance")) - F.lit(cost)) < 0.01 * cost).alias("same_cost"),
+    )
+
+
+@query(
+    f"""WITH {EMB}, d AS (SELECT sqrt(x * x + y * y) AS a, sqrt((x - 0.1) * (x - 0.1) + (y - 0.1) * (y - 0.1)) AS b FROM emb)
+    SELECT CASE WHEN least(a, b) >= 0.05 THEN 'rest' WHEN a <= b THEN '0' ELSE '1' END AS part, count(*) AS n FROM d GROUP BY 1"""
+)
+def fixed_centre_sizes(spark, sf):
+    points = emb(spark, sf).df.select("id", "x", "y")
+    out = models.clusters_with_fixed(points, [(0.0, 0.0), (0.1, 0.1)], 4, 0.05)
+    part = F.when(F.col("cluster") >= 2, "rest").otherwise(F.col("cluster").cast("string"))
+    return out.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
+def _subcluster_sizes(spark, sf, columns):
+    out = models.subclusters(emb(spark, sf).df, "label", columns, 5)
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("subcluster").alias("subclusters"))
+
+
+@query(f"WITH {EMB} SELECT label, count(*) AS n, 5::BIGINT AS subclusters FROM emb GROUP BY label")
+def attribute_subcluster_sizes(spark, sf):
+    return _subcluster_sizes(spark, sf, [f"f{i}" for i in range(DIMS)])
+
+
+@query(f"WITH {EMB} SELECT label, count(*) AS n, 5::BIGINT AS subclusters FROM emb GROUP BY label")
+def geographic_subcluster_sizes(spark, sf):
+    return _subcluster_sizes(spark, sf, ["x", "y"])
+
+
+@query("SELECT unnest([2, 4, 8])::BIGINT AS k, true AS closer")
+def spacing_sweep(spark, sf):
+    """Of more clusters the centres are no further apart."""
+    rows = models.spacing_sweep(emb(spark, sf).df, [2, 4, 8])
+    least = [d for _, _, d in rows]
+    return spark.createDataFrame([(k, i == 0 or d <= least[0]) for i, (k, _, d) in enumerate(rows)], "k long, closer boolean")
 
 
 @query()
@@ -1028,11 +1272,12 @@ def best_k_by_zone(spark, sf):
     return models.best_k_by_group(points.df, "label", points.features, per=50)
 
 
+def _places(spark):
+    return spark.range(CLUSTERS).select(F.col("id").alias("cluster"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+
+
 def _forecast(spark, sf, kind):
-    centres = spark.range(CLUSTERS).select(F.col("id").alias("cluster"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
-    frame = series.time_split(series.training_frame(_series(spark, sf), centres, BINS, 4)).cache()
-    if kind == "boosted":  # clusters x bins rows, whatever the input, read in every round
-        frame = frame.coalesce(1).cache()
+    frame = series.time_split(series.training_frame(_series(spark, sf), _places(spark), BINS, 4)).cache()
     columns = ["ft_5", "ft_4", "ft_3", "ft_2", "ft_1", "weekday", "exp_avg"]
     out = models.forecasts(frame.where("part = 'train'"), frame.where("part = 'test'"), columns, kind=kind)
     return out.select("cluster", "bin", "value", "predicted", "error")

@@ -20,9 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from geoquilt.sources.files import read_points_csv
+
 # Fixed values of the formats.
 CLASSIC, COMPACT, LOOSE = "classic", "compact", "loose"
 SLOTS = 12
@@ -174,7 +177,11 @@ class PointWriter(DataSourceArrowWriter):
             fs.delete_file(aside)
         elif self.layout == LOOSE:
             fs.move(aside, name)
-        else:  # the count is known only now
+        elif isinstance(fs, pafs.LocalFileSystem):  # the count is known only now
+            with open(aside, "r+b") as f:
+                f.write(struct.pack("<i", count))
+            fs.move(aside, name)
+        else:  # streams of other stores can't go back
             with fs.open_input_stream(aside) as old, fs.open_output_stream(f"{aside}.n") as new:
                 old.read(4)
                 new.write(struct.pack("<i", count))
@@ -241,3 +248,13 @@ def sorted_export(df, path: str, x: str = "x", y: str = "y") -> None:
     register(df.sparkSession)
     ordered = df.repartitionByRange(x, y).sortWithinPartitions(x, y, "id")
     ordered.write.format("pointfile").option("layout", COMPACT).mode("append").save(path)
+
+
+def convert_csv(spark: SparkSession, source: str, path: str, features: int, layout: str = CLASSIC) -> None:
+    """Points of CSV files (files.points_schema's columns, with a header) as binary files, one of
+    each task; rows are neither collected nor shuffled. The compact layout takes `geo` as label."""
+    register(spark)
+    points = read_points_csv(spark, source, features, most_features=SLOTS)
+    labels = [F.col("geo").alias("label")] if layout == COMPACT else ["geo", "attr"]
+    rows = points.df.select("id", "x", "y", *labels, F.array(*points.features).alias("features"))
+    rows.write.format("pointfile").option("layout", layout).mode("append").save(path)

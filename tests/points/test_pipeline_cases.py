@@ -1,12 +1,13 @@
 """Cleaning, profiles, series, models, sources and streams on small data."""
 
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoquilt.operators import cleaning, layout, models, profile, series, similarity
+from geoquilt.operators import cleaning, layout, models, profile, series, sides, similarity
 from geoquilt.plans import catalog
 from geoquilt.schema import Box, PointSet, require_columns
 from geoquilt.sources import binary, files
@@ -255,6 +256,7 @@ def test_boosting_runs_a_thousand_rounds(spark, monkeypatch):
 
     real = models.GBTRegressor
     monkeypatch.setattr(models, "GBTRegressor", regressor)
+    monkeypatch.setattr(models, "BOOSTED", 0)  # Spark's, which takes over beyond so many rows
     df = frame(spark, [(float(i), i) for i in range(20)], "a double, value int")
     assert models.forecasts(df, df, ["a"], kind="boosted").count() == 20
     assert (asked["maxIter"], asked["maxDepth"], asked["stepSize"], asked["subsamplingRate"]) == (1000, 3, 0.1, 0.8)
@@ -287,3 +289,44 @@ def test_catalog_models_keep_invariants(spark):
     assert q["best_k"](spark, SF).where("chosen").count() == 1
     assert q["linear_forecast"](spark, SF).count() > 0
     assert Box(0, 0, 1, 1).empty is False
+
+
+def test_boosted_in_memory():
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3))
+    y = np.where(x[:, 0] > 0.5, 5.0, 0.0) + x[:, 1] * 2
+    model = models.Boosted(x, y)
+    assert len(model.trees) == 1000 and np.abs(model.predict(x) - y).mean() < 0.05
+    assert np.allclose(models.Boosted(x, y).predict(x), model.predict(x))
+    assert models.Boosted(np.zeros((0, 2)), np.zeros(0)).predict(np.ones((1, 2))).tolist() == [0.0]
+    same = models.Boosted(np.ones((5, 1)), np.full(5, 3.0), rounds=3)
+    assert np.allclose(same.predict(np.zeros((2, 1))), 3.0)
+
+
+def test_carried_sequence_of_a_month_is_read_once(spark):
+    """40 clusters of 4,464 ten-minute bins: one sequence of 178,560."""
+    rows = spark.range(178_560).selectExpr("id div 4464 AS cluster", "id % 4464 AS bin", "id % 97 AS value")
+    began = time.perf_counter()
+    out = series.exponential_values(rows, 4464).orderBy("i").select("predicted", "value").toPandas()
+    assert time.perf_counter() - began < 20
+    state = 0
+    for nth, (predicted, value) in enumerate(zip(out["predicted"].tolist(), out["value"].tolist(), strict=True)):
+        assert predicted == (0 if nth % 4464 == 0 else state)
+        state = state if nth % 4464 == 0 else int(state * 0.3 + value * 0.7)
+
+
+def test_nearest_of_many_centres(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points, centres = rng.random((200, 2)), rng.random((60, 2))
+    df = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id long, x double, y double")
+    cs = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(centres)], "centre int, cx double, cy double")
+    key = lambda rows: sorted((r.id, r.centre, r.distance and round(r.distance, 9)) for r in rows)
+    want = key(models.nearest_centre(df, cs, 0.07).collect())
+    monkeypatch.setattr(models, "MOST_CENTRES", 10)
+    assert key(models.nearest_centre(df, cs, 0.07).collect()) == want and any(c is None for _, c, _ in want)
+
+
+def test_small_sides(spark):
+    rows = spark.range(50)
+    assert "Broadcast" in sides.few(rows, 50).join(spark.range(9), "id")._jdf.queryExecution().toString()
+    assert sides.few(rows, 49) is rows and sides.few(rows.limit(0), 5).count() == 0
