@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoquilt.llm import bpe, decontam, parity_join, qda, toxicity
-from geoquilt.llm.common import prepare, stored, table
+from geoquilt.llm.common import prepare, remove, stored, table
 
 #: No SQL expresses the trained classifiers or the merges of the encoder.
 ORACLE_SQL = None
@@ -56,7 +56,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return kept
     rows = kept.join(again, kept["doc_id"] == again["__drop"], "left_semi")
-    one = rows.orderBy("text").dropDuplicates(["doc_id"])
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(every, F.struct(F.xxhash64("text"), F.to_json(every))).alias("__row")
+    one = rows.groupBy(F.col("doc_id").alias("__id")).agg(first).select("__row.*")
     return _without(kept, kept["doc_id"], again).unionByName(one)
 
 
@@ -93,7 +95,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs, path = stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before:
+            remove(spark, before)  # the next stage reads the newer table
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
