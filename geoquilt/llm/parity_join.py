@@ -459,7 +459,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> Dat
     mixed = classed.groupBy("p").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"))
     mixed = mixed.where("size > 2 and low < high").select("p", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     members = (
-        classed.join(mixed, "p")
+        classed.join(_few(keep(mixed, "mixed")), "p")
         .join(sketches, "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
