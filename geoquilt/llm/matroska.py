@@ -5,8 +5,11 @@ The parser takes elements of known and unknown size, SimpleBlocks and BlockGroup
 lacings. Packets are byte ranges of the file with track and timestamp, so that payloads are read
 without copies of what lies between. Damaged files raise ValueError.
 
-Null and empty texts have a payload of one padded frame. Equal texts give equal files; every row
-gives one row.
+Texts are written as a table of media files in the shared folder; digests and packet tables are
+made from what is read back. Null and empty texts have a payload of one padded frame. Equal texts
+give equal files; every row gives one row, repeated ids and null ids included. An empty table
+gives an empty one. Columns of documents other than `carry` and text are not read; `carry` must
+not name a column that is added.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoquilt.llm.common import remove, stored
+
 FRAME = 576
 PADDING = b"\xff"
 RATE = 8000
@@ -266,44 +270,61 @@ def padded(text: str) -> tuple[int, bytes]:
 def _digest(batches):
     for batch in batches:
         rows = []
-        for text in batch.column("__text").to_pylist():
-            n, payload = padded(text)
-            media = write(payload)
+        for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
             movie = parse(media)
             back = read(media, movie)
             rows.append(
                 (
-                    n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]),
+                    len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]),
                     len(media), hashlib.sha256(media).hexdigest(), feature(movie, back),
                 )
             )
-        keep = batch.drop_columns(["__text"])
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        keep = batch.drop_columns(["media"])
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*keep.columns, *columns], names=[*keep.schema.names, *_DIGEST])
 
 
-_DIGEST = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-_KINDS = (T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+_DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+_KINDS = (T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+
+
+def _written(batches):
+    for batch in batches:
+        sizes, media = [], []
+        for text in batch.column("__text").to_pylist():
+            n, payload = padded(text)
+            sizes.append(n)
+            media.append(write(payload))
+        keep = batch.drop_columns(["__text"])
+        yield pa.RecordBatch.from_arrays(
+            [*keep.columns, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*keep.schema.names, "n_bytes", "media"]
+        )
 
 
-def stored_texts(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns `carry` of docs (text, ...), and the digests of each text's file."""
+def media_files(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns `carry` of docs (text, ...), the bytes of each text and its file as `media`."""
     rows = docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    added = [T.StructField(n, k) for n, k in zip(_DIGEST, _KINDS, strict=True)]
-    return rows.mapInArrow(_digest, T.StructType([*fields, *added]))
+    added = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+    return rows.mapInArrow(_written, T.StructType([*fields, *added]))
 
 
-def media_files(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns `carry` of docs (text, ...), and each text's file as `media`."""
+def digests(files: DataFrame) -> DataFrame:
+    """The columns of files (media, ...) but for media, and the digests of each file, whose
+    payload is read from its packets."""
+    fields = [f for f in files.schema.fields if f.name != "media"]
+    added = [T.StructField(n, k) for n, k in zip(_DIGEST, _KINDS, strict=True)]
+    return files.mapInArrow(_digest, T.StructType([*fields, *added]))
 
-    @F.pandas_udf("binary")
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: write(padded(t)[1]))
 
-    return docs.select(*carry, made(F.coalesce(F.col("text"), F.lit(""))).alias("media"))
+def stored_texts(spark: SparkSession, docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns `carry` of docs (text, ...), and the digests of each text's file, which is
+    written to the shared folder and read back. The table of files is removed at the end."""
+    files, path = stored(spark, media_files(docs, carry), "media", compression="zstd")
+    result = digests(files).checkpoint()
+    remove(spark, path)
+    return result
 
 
 PACKETS = "file long, track int, timestamp long, first_byte long, size long, cluster int, lacing int, cue boolean"

@@ -157,7 +157,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_matroska_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return matroska.stored_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return matroska.stored_texts(spark, table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
