@@ -9,17 +9,24 @@ the index is a column of its own that is read without the data.
 Of records with equal payloads, that of the least page_id is the response; the others are
 revisits, which hold no payload but its digest, its length and whose record they repeat. Null
 html is an empty payload; empty payloads are equal to each other. Rows without a page_id are
-responses. Rows of one page_id with the same payload are all what the page is.
+responses, named by a uuid that follows from their url and payload. Rows of one page_id with the
+same payload are all what the page is. An empty table gives an empty one; columns of pages other
+than page_id, url and html are not read. Each archive begins with a warcinfo record.
+
+write_files() exports archives as .warc.gz files, each with a sidecar .idx file of lines (offset,
+length, type, record id), which any reader of gzip can open.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +57,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(content)}",
     ]
-    if page_id is not None:
-        lines.insert(2, f"WARC-Record-ID: <urn:page:{page_id}>")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{uri} {payload_digest(payload)}")
+    lines.insert(2, f"WARC-Record-ID: <urn:uuid:{name}>" if page_id is None else f"WARC-Record-ID: <urn:page:{page_id}>")
     if refers_to is not None:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
 
 
+def info() -> bytes:
+    """What an archive begins with."""
+    content = b"software: geoquilt\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, content.decode())
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n"
+    head += f"Content-Type: application/warc-fields\r\nContent-Length: {len(content)}\r\n\r\n"
+    return head.encode() + content + b"\r\n\r\n"
+
+
 def headers(data: bytes, start: int = 0) -> tuple[dict[str, str], int]:
     """Named fields of a header block by lower-case name, and where what follows it begins."""
     end = data.index(b"\r\n\r\n", start)
@@ -122,10 +138,12 @@ def normalise(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
 
 def read_record(archive: bytes, offset: int, length: int) -> dict:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of the member
-    at an offset; a revisit's payload is None. A response whose payload doesn't have the digest
+    at an offset; a revisit's payload is None, a warcinfo has its type alone. A response whose payload doesn't have the digest
     that it names raises ValueError."""
     data = zlib.decompress(archive[offset : offset + length], 31)
     fields, body = headers(data)
+    if fields["warc-type"] == "warcinfo":
+        return {"record_type": "warcinfo"}
     http, start = headers(data, body)
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     kind = fields["warc-type"]
@@ -135,7 +153,7 @@ def read_record(archive: bytes, offset: int, length: int) -> dict:
         payload = data[start : body + int(fields["content-length"])]
         if payload_digest(payload) != digest or len(payload) != size:
             raise ValueError(f"damaged payload of {fields.get('warc-record-id')}")
-    number = lambda key: int(fields[key][len("<urn:page:") : -1]) if key in fields else None
+    number = lambda key: int(fields[key][len("<urn:page:") : -1]) if fields.get(key, "").startswith("<urn:page:") else None
     return {
         "page_id": number("warc-record-id"), "payload_bytes": size, "payload_digest": digest,
         "record_type": kind, "refers_to": number("warc-refers-to"), "payload": payload,
@@ -163,6 +181,7 @@ def _archived(batches):
             refers_to = dict(firsts).get(payload_digest(payload)) if firsts else None
             if engine is None:
                 engine = zlib.compressobj(1, zlib.DEFLATED, 31)
+                out.append(engine.compress(info()))
             one = record(page_id, url, payload, refers_to)
             out.append(engine.compress(one))
             held += len(one)
@@ -197,6 +216,7 @@ def _reread(batches):
     for batch in batches:
         for data, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("data", "offsets", "lengths")), strict=True):
             rows = [read_record(data, o, n) for o, n in zip(offsets, lengths, strict=True)]
+            rows = [r for r in rows if r["record_type"] != "warcinfo"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names=names
             )
@@ -237,10 +257,41 @@ def normalise_archives(spark: SparkSession, archives: DataFrame) -> tuple[DataFr
     return stored(spark, made, "members")
 
 
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """(file, records) of normalised archives, each written from its task to the folder, which all
+    executors share, as <file>.warc.gz and its index <file>.idx. A file appears under its name
+    once it is whole; a task that runs again writes the same names."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, nth = TaskContext.get(), 0
+        fs, at = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            for data, offsets, lengths in zip(*(batch.column(c).to_pylist() for c in ("data", "offsets", "lengths")), strict=True):
+                name = f"part-{task.partitionId():05d}-{nth:05d}"
+                lines = []
+                for offset, length in zip(offsets, lengths, strict=True):
+                    fields, _ = headers(zlib.decompress(data[offset : offset + length], 31))
+                    lines.append(f"{offset}\t{length}\t{fields['warc-type']}\t{fields['warc-record-id']}\n")
+                for suffix, content in ((".idx", "".join(lines).encode()), (".warc.gz", data)):
+                    aside = f"{at.rstrip('/')}/.{name}{suffix}.{task.taskAttemptId()}"
+                    with fs.open_output_stream(aside, compression=None) as f:
+                        f.write(content)
+                    fs.move(aside, f"{at.rstrip('/')}/{name}{suffix}")
+                nth += 1
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(offsets)], pa.int64())], names=["file", "records"])
+
+    return archives.select("data", "offsets", "lengths").mapInArrow(run, "file string, records long")
+
+
 def archived_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, read back
     from the normalised archives."""
     whole, path = write_archives(spark, pages)
-    members, _ = normalise_archives(spark, whole)
+    members, again = normalise_archives(spark, whole)
     remove(spark, path)
-    return members.mapInArrow(_reread, _READ)
+    result = members.mapInArrow(_reread, _READ).checkpoint()
+    remove(spark, again)
+    return result

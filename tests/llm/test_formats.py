@@ -1,6 +1,7 @@
 """Round trips: token ids, media files, archives, shard stores, page texts, the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import random
 import struct
@@ -158,7 +159,8 @@ def test_damaged_media_raise():
 def test_media_query_and_packet_table(spark):
     prepare(spark)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, "x", 2), (0, None, 3)], "doc_id long, text string, n_bytes int")
-    rows = matroska.stored_texts(df, ["doc_id"]).collect()
+    rows = matroska.stored_texts(spark, df, ["doc_id"]).collect()
+    assert matroska.stored_texts(spark, df.limit(0), ["doc_id"]).count() == 0
     assert len(rows) == len(ODD) + 2
     for r in rows:
         text = ("x" if r.doc_id is None else ODD[r.doc_id] or "").encode()
@@ -168,6 +170,9 @@ def test_media_query_and_packet_table(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
         media = matroska.write(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        level = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(level["sum"]) == sum(b - 128 for b in payload) and int(level["energy"]) == sum((b - 128) ** 2 for b in payload)
+        assert int(level["packets"]) == len(payload) // 576 == sum(map(int, level["lacing"].split("/")))
     files = matroska.media_files(df.where("doc_id = 5"), ["doc_id"]).withColumnRenamed("doc_id", "file")
     packets = matroska.packet_table(files).orderBy("timestamp").collect()
     media = files.first().media
@@ -209,6 +214,31 @@ def test_archived_pages(spark, monkeypatch):
     assert warc.archived_pages(spark, df.limit(0)).count() == 0
 
 
+def test_archive_files_open_by_offset_alone(spark, tmp_path):
+    prepare(spark)
+    rows = [(i, f"http://a/{i}", f"page {i // 2}" * 40) for i in range(30)] + [(None, "http://n/", "page 0" * 40), (50, "http://long/", "x" * 9_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    whole, _ = warc.write_archives(spark, df)
+    members, _ = warc.normalise_archives(spark, whole)
+    files = warc.write_files(members, f"file://{tmp_path}/warc").collect()
+    assert sum(f.records for f in files) == len(rows) + len(files)  # and a warcinfo each
+    seen = []
+    for f in files:
+        path = tmp_path / "warc" / f"{f.file}.warc.gz"
+        plain = gzip.open(path).read()
+        assert plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        assert plain.count(b"WARC-Record-ID: <urn:") == f.records
+        for line in (tmp_path / "warc" / f"{f.file}.idx").read_text().splitlines():
+            offset, length, kind, name = line.split("\t")
+            with open(path, "rb") as one:
+                one.seek(int(offset))
+                record = gzip.decompress(one.read(int(length)))
+            assert record.startswith(f"WARC/1.1\r\nWARC-Type: {kind}\r\n".encode()) and name.encode() in record
+            seen.append(kind)
+    assert seen.count("revisit") == 15 and seen.count("response") == len(rows) - 15
+    assert sorted(p.name for p in (tmp_path / "warc").iterdir()) == sorted(f.file + s for f in files for s in (".idx", ".warc.gz"))
+
+
 # shard store
 
 
