@@ -92,7 +92,7 @@ def counterfactuals(text: str) -> list[list[int]]:
         chance = xxhash.xxh3_64_intdigest(text)
         group = GROUPS[chance % len(GROUPS)]
         at = (chance >> 16) % len(group)
-        one, two = (features([group[i % len(group)], *own]) for i in (at, at + 1))
+        one, two = (shown.union(buckets(group[i % len(group)])) for i in (at, at + 1))
         pairs = [(shown, one), (one, two)]
     return [side for x, y in pairs for side in (sorted(x - y), sorted(y - x))]
 
