@@ -45,6 +45,7 @@ def payload_digest(payload: bytes) -> str:
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One response, or the revisit of another page's response."""
+    digest = payload_digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     content = http if refers_to is not None else http + payload
     uri = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
@@ -53,12 +54,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Target-URI: {uri}",
         "WARC-Date: 2020-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(content)}",
     ]
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{uri} {payload_digest(payload)}")
-    lines.insert(2, f"WARC-Record-ID: <urn:uuid:{name}>" if page_id is None else f"WARC-Record-ID: <urn:page:{page_id}>")
+    own = f"urn:page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {digest}')}"
+    lines.insert(2, f"WARC-Record-ID: <{own}>")
     if refers_to is not None:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
