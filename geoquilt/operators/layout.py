@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoquilt.functions import geometry as g
+from geoquilt.operators.sides import few
 from geoquilt.schema import Box
 
 
@@ -98,32 +99,72 @@ class Slabs:
         return placed.withColumn("cell", F.concat_ws(":", "gx", "gy"))
 
 
-def splits(points: DataFrame, least: int) -> DataFrame:
-    """Ways to cut one cell's points in two along an axis, `least` or more on each side: (axis,
-    first, margin, shared, area) with the sum of the halves' margins, the area they share and
-    that of both. Boxes of all prefixes and suffixes come from running minima and maxima."""
-    both = points.select("id", "x", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("axis"))
+def splits(placed: DataFrame, least: int) -> DataFrame:
+    """Ways to cut each cell's points in two along an axis, `least` or more on each side: (cell,
+    axis, first, margin, shared, area) with the sum of the halves' margins, the area they share
+    and that of both. Boxes of all prefixes and suffixes are running minima and maxima, from both
+    ends, as a frame that ends with its partition is computed anew for each row."""
+    both = placed.select("cell", "id", "x", "y", F.explode(F.array(F.lit(0), F.lit(1))).alias("axis"))
     key = F.when(F.col("axis") == 0, F.col("x")).otherwise(F.col("y"))
-    order = W.partitionBy("axis").orderBy(key, "x", "y", "id")
-    head, tail = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(1, W.unboundedFollowing)
-    sides = {}
-    for prefix, w in (("a_", head), ("b_", tail)):
-        sides |= {f"{prefix}x0": F.min("x").over(w), f"{prefix}y0": F.min("y").over(w)}
+    part = W.partitionBy("cell", "axis")
+    up = part.orderBy(key, "x", "y", "id")
+    down = part.orderBy(key.desc(), F.desc("x"), F.desc("y"), F.desc("id"))
+    frames = (("b_", down.rowsBetween(W.unboundedPreceding, -1)), ("a_", up.rowsBetween(W.unboundedPreceding, 0)))
+    for prefix, w in frames:
+        sides = {f"{prefix}x0": F.min("x").over(w), f"{prefix}y0": F.min("y").over(w)}
         sides |= {f"{prefix}x1": F.max("x").over(w), f"{prefix}y1": F.max("y").over(w)}
-    placed = both.withColumns({**sides, "first": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("axis"))})
+        both = both.withColumns(sides | ({"rest": F.row_number().over(down) - 1} if prefix == "b_" else {"first": F.row_number().over(up)}))
     a, b = g.B.named("a_"), g.B.named("b_")
-    cuts = placed.where((F.col("first") >= least) & (F.col("first") <= F.col("n") - least))
-    return cuts.select(
-        "axis", "first", (g.margin(a) + g.margin(b)).alias("margin"), g.overlap(a, b).alias("shared"), (g.area(a) + g.area(b)).alias("area")
-    )
+    cuts = both.where((F.col("first") >= least) & (F.col("rest") >= least))
+    margin, area = g.margin(a) + g.margin(b), g.area(a) + g.area(b)
+    return cuts.select("cell", "axis", "first", margin.alias("margin"), g.overlap(a, b).alias("shared"), area.alias("area"))
+
+
+def best_splits(placed: DataFrame, most: int, least: int) -> DataFrame:
+    """Of every cell that holds more than `most` points, the cut on the axis with the least sum of
+    margins (of equals the first) that shares the least area, then covers the least: (cell, axis,
+    first, margin, shared, area). A cell with fewer than two times `least` has none. Cells that
+    hold many times `most` are for refine(), which sorts nothing."""
+    full = few(placed.groupBy("cell").count().where(F.col("count") > most).select("cell"))
+    best = F.min_by(F.struct("first", "margin", "shared", "area"), F.struct("shared", "area", "first"))
+    cuts = splits(placed.join(full, "cell", "left_semi"), least)
+    by_axis = cuts.groupBy("cell", "axis").agg(F.sum("margin").alias("total"), best.alias("cut"))
+    chosen = by_axis.groupBy("cell").agg(F.min_by(F.struct("axis", "cut"), F.struct("total", "axis")).alias("s"))
+    return chosen.select("cell", "s.axis", "s.cut.*")
 
 
 def best_split(points: DataFrame, least: int) -> DataFrame:
-    """The cut on the axis with the least sum of margins (of equals the first) that shares the
-    least area, then covers the least: one row."""
-    cuts = splits(points, least)
-    axis = cuts.groupBy("axis").agg(F.sum("margin").alias("total")).orderBy("total", "axis").limit(1).select("axis")
-    return cuts.join(F.broadcast(axis), "axis").orderBy("shared", "area", "first").limit(1)
+    """The best cut of points that are one cell: one row, or none if they are too few."""
+    return best_splits(points.withColumn("cell", F.lit("")), 0, least).drop("cell")
+
+
+def refine(points: DataFrame, grid: Grid, most: int, depth: int) -> DataFrame:
+    """points with gx, gy, level and cell 'level:gx:gy': grid cells that hold more than `most`
+    points are cut into four, and these again, down to `depth` cuts, below which a cell keeps
+    what it holds. Points are placed by their coordinates alone, so points of equal place stay
+    together. What is left after deletions, refined again, has its under-full cells merged.
+
+    Points are counted by the finest cell before anything is shuffled; the levels come from
+    these counts. A place without coordinates has level, cell and numbers null."""
+    if most < 1 or not 0 <= depth <= 20:
+        raise ValueError("cells hold a point at least and are cut 0 to 20 times")
+    fine = lambda c, zero, size: F.floor((F.col(c) - F.lit(zero)) / F.lit(size / 2**depth))
+    placed = points.withColumns({"__fx": fine("x", grid.x0, grid.dx), "__fy": fine("y", grid.y0, grid.dy)})
+    counts = placed.where("__fx is not null and __fy is not null").groupBy("__fx", "__fy").agg(F.count("*").alias("__n"))
+    at = lambda c, level: F.shiftright(F.col(c), depth - level)
+    level = F.lit(depth)
+    held = counts
+    for k in range(depth):
+        held = held.withColumn(f"__n{k}", F.sum("__n").over(W.partitionBy(at("__fx", k), at("__fy", k))))
+    for k in reversed(range(depth)):
+        level = F.when(F.col(f"__n{k}") <= most, k).otherwise(level)
+    levels = held.select("__fx", "__fy", level.alias("level"))
+    down = F.lit(depth) - F.col("level")
+    found = placed.join(few(levels), ["__fx", "__fy"], "left").withColumns(
+        {c: F.call_function("shiftright", F.col(f), down) for c, f in (("gx", "__fx"), ("gy", "__fy"))}
+    )
+    cell = F.when(F.col("level").isNotNull(), F.concat_ws(":", "level", "gx", "gy"))
+    return found.withColumn("cell", cell).drop("__fx", "__fy")
 
 
 def cell_stats(placed: DataFrame) -> DataFrame:

@@ -226,9 +226,8 @@ def box_metrics(spark, sf):
     )
 
 
-STATUS = """st AS (SELECT o_orderpriority || o_orderstatus AS name, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1
-  FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice AS x, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS y
-        FROM orders WHERE o_orderkey % 50 = 0) GROUP BY 1)"""
+STATUS = """st AS (SELECT o_orderpriority || o_orderstatus AS name, min(o_totalprice) AS x0, min(y) AS y0, max(o_totalprice) AS x1,
+  max(y) AS y1 FROM (SELECT *, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS y FROM orders) GROUP BY 1)"""
 
 
 OVERLAPS = """SELECT a.name AS a, b.name AS b,
@@ -236,9 +235,11 @@ OVERLAPS = """SELECT a.name AS a, b.name AS b,
     NOT (a.x1 < b.x0 OR b.x1 < a.x0 OR a.y1 < b.y0 OR b.y1 < a.y0) AS touching FROM st a JOIN st b ON a.name < b.name"""
 
 
-def _overlaps(orders: DataFrame) -> DataFrame:
+@query(f"WITH {STATUS} {OVERLAPS}")
+def box_overlap_pairs(spark, sf):
     days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
-    rows = orders.select(F.concat("o_orderpriority", "o_orderstatus").alias("name"), F.col("o_totalprice").alias("x"), days.alias("y"))
+    name = F.concat("o_orderpriority", "o_orderstatus").alias("name")
+    rows = _table(spark, sf, "orders").select(name, F.col("o_totalprice").alias("x"), days.alias("y"))
     boxes = rows.groupBy("name").agg(*g.box_of())
     a, b = (boxes.toDF(p, *[f"{p}_{s}" for s in ("x0", "y0", "x1", "y1")]) for p in "ab")
     pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # a box per label: a handful
@@ -246,20 +247,6 @@ def _overlaps(orders: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.round(g.overlap(one, two), 4).alias("shared"), g.intersects(one, two).alias("touching"))
 
 
-@query(f"WITH {STATUS} {OVERLAPS}")
-def box_overlap_pairs(spark, sf):
-    return _overlaps(_table(spark, sf, "orders").where("o_orderkey % 50 = 0"))
-
-
-ALL_STATUS = """st AS (SELECT o_orderpriority || o_orderstatus AS name, min(o_totalprice) AS x0, min(y) AS y0, max(o_totalprice) AS x1,
-  max(y) AS y1 FROM (SELECT *, datediff('day', DATE '1995-01-01', o_orderdate::DATE) AS y FROM orders) GROUP BY 1)"""
-
-
-@query(f"WITH {ALL_STATUS} {OVERLAPS}")
-def box_overlap_pairs_all(spark, sf):
-    return _overlaps(_table(spark, sf, "orders"))
-
-
 @query(
     """SELECT o_orderkey AS id, (trunc(o_totalprice * 10) - 100)::BIGINT AS x0, (trunc(o_totalprice * 10) + 100)::BIGINT AS x1
     FROM orders"""
@@ -284,30 +271,19 @@ def last_wins(spark, sf):
 
 
 REGIONS = """reg AS (SELECT box, x0, y0, x0 + 5000 AS x1, y0 + 50 AS y1 FROM (SELECT c_custkey AS box,
-  ((c_custkey * 7919) % 500000)::DOUBLE AS x0, ((c_custkey * 104729) % 2400)::DOUBLE AS y0 FROM customer WHERE c_custkey % 3 = 0))"""
+  ((c_custkey * 7919) % 500000)::DOUBLE AS x0, ((c_custkey * 104729) % 2400)::DOUBLE AS y0 FROM customer))"""
 
 
-def _in_regions(spark, sf, customers: DataFrame) -> DataFrame:
+@query(f"WITH {ORD}, {REGIONS} SELECT id, box FROM ord JOIN reg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+def points_in_boxes(spark, sf):
     k = F.col("c_custkey")
-    boxes = customers.select(k.alias("box"), (k * 7919 % 500000).cast("double").alias("x0"), (k * 104729 % 2400).cast("double").alias("y0"))
+    boxes = _table(spark, sf, "customer").select(
+        k.alias("box"), (k * 7919 % 500000).cast("double").alias("x0"), (k * 104729 % 2400).cast("double").alias("y0")
+    )
     boxes = boxes.withColumns({"x1": F.col("x0") + 5000, "y1": F.col("y0") + 50})
     return spatial.points_in_boxes(orders(spark, sf).df, boxes, 5000.0, 50.0).select("id", "box")
 
 
-@query(f"WITH {ORD}, {REGIONS} SELECT id, box FROM ord JOIN reg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-def points_in_boxes(spark, sf):
-    return _in_regions(spark, sf, _table(spark, sf, "customer").where("c_custkey % 3 = 0"))
-
-
-ALL_REGIONS = """reg AS (SELECT box, x0, y0, x0 + 5000 AS x1, y0 + 50 AS y1 FROM (SELECT c_custkey AS box,
-  ((c_custkey * 7919) % 500000)::DOUBLE AS x0, ((c_custkey * 104729) % 2400)::DOUBLE AS y0 FROM customer))"""
-
-
-@query(f"WITH {ORD}, {ALL_REGIONS} SELECT id, box FROM ord JOIN reg ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
-def points_in_boxes_all(spark, sf):
-    return _in_regions(spark, sf, _table(spark, sf, "customer"))
-
-
 @query(f"WITH {ORD} SELECT o.id, o.geo, c.c_mktsegment AS segment FROM ord o JOIN customer c ON c.c_custkey = o.geo")
 def payload_lookup(spark, sf):
     payload = _table(spark, sf, "customer").select(F.col("c_custkey").alias("geo"), F.col("c_mktsegment").alias("segment"))
@@ -545,49 +521,59 @@ def balanced_layout(spark, sf):
     return placed.where("cell is not null").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("id").alias("total"))
 
 
-MINI = "pts AS (SELECT o_orderkey AS id, x, y FROM (SELECT o_orderkey, o_totalprice AS x, datediff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS y FROM orders) WHERE x < 20000)"
-CUTS = """cuts AS (SELECT axis, first, n, 2 * (a_x1 - a_x0 + a_y1 - a_y0) + 2 * (b_x1 - b_x0 + b_y1 - b_y0) AS margin,
+MOST, LEAST = 100, 40
+CUTS = f"""pts AS (SELECT * FROM (SELECT id, x, y, {CELL} AS cell, count(*) OVER (PARTITION BY {CELL}) AS held FROM ord) WHERE held > {MOST}),
+  cuts AS (SELECT cell, axis, first, 2 * (a_x1 - a_x0 + a_y1 - a_y0) + 2 * (b_x1 - b_x0 + b_y1 - b_y0) AS margin,
     greatest(0, least(a_x1, b_x1) - greatest(a_x0, b_x0)) * greatest(0, least(a_y1, b_y1) - greatest(a_y0, b_y0)) AS shared,
     (a_x1 - a_x0) * (a_y1 - a_y0) + (b_x1 - b_x0) * (b_y1 - b_y0) AS area FROM (
-    SELECT axis, row_number() OVER o AS first, count(*) OVER (PARTITION BY axis) AS n,
+    SELECT cell, axis, held, row_number() OVER h AS first,
       min(x) OVER h AS a_x0, min(y) OVER h AS a_y0, max(x) OVER h AS a_x1, max(y) OVER h AS a_y1,
       min(x) OVER t AS b_x0, min(y) OVER t AS b_y0, max(x) OVER t AS b_x1, max(y) OVER t AS b_y1
     FROM pts, (VALUES (0), (1)) v(axis)
-    WINDOW o AS (PARTITION BY axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id),
-      h AS (PARTITION BY axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-      t AS (PARTITION BY axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-    WHERE first >= 40 AND first <= n - 40)"""
+    WINDOW h AS (PARTITION BY cell, axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      t AS (PARTITION BY cell, axis ORDER BY CASE WHEN axis = 0 THEN x ELSE y END, x, y, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    WHERE first >= {LEAST} AND first <= held - {LEAST})"""
 
 
 @query(
-    f"""WITH {MINI}, {CUTS} SELECT axis, first, round(shared, 4) AS shared, round(area, 4) AS area FROM cuts
-    WHERE axis = (SELECT axis FROM cuts GROUP BY axis ORDER BY sum(margin), axis LIMIT 1) ORDER BY cuts.shared, cuts.area, first LIMIT 1"""
+    f"""WITH {ORD}, {CUTS}, axes AS (SELECT cell, axis, row_number() OVER (PARTITION BY cell ORDER BY sum(margin), axis) AS place
+      FROM cuts GROUP BY cell, axis)
+    SELECT cell, axis, first, round(shared, 4) AS shared, round(area, 4) AS area FROM (
+      SELECT cuts.*, row_number() OVER (PARTITION BY cell ORDER BY shared, area, first) AS best FROM cuts JOIN axes USING (cell, axis)
+      WHERE place = 1) WHERE best = 1"""
 )
 def best_split(spark, sf):
-    points = orders(spark, sf).df.where("x < 20000")
-    cut = layout.best_split(points, 40)
-    return cut.select("axis", F.col("first").cast("long").alias("first"), F.round("shared", 4).alias("shared"), F.round("area", 4).alias("area"))
+    cuts = layout.best_splits(GRID.assign(orders(spark, sf).df), MOST, LEAST)
+    return cuts.select("cell", "axis", F.col("first").cast("long").alias("first"), F.round("shared", 4).alias("shared"), F.round("area", 4).alias("area"))
 
 
-@query(
-    f"""WITH {ORD}, c AS (SELECT geo, avg(x) AS cx, avg(y) AS cy FROM ord WHERE geo < 50 GROUP BY geo)
-    SELECT id, ord.geo, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ord LEFT JOIN c ON c.geo = ord.geo"""
-)
-def centroids_onto_points(spark, sf):
-    return _centroids_onto(orders(spark, sf).df, "geo < 50")
+#: Cuts of a grid cell, which hold 60 points or fewer unless they are cut so often
+DEPTH = 4
+_AT = "floor(x / (50000 / {k}))::BIGINT AS gx{l}, floor(y / (400 / {k}))::BIGINT AS gy{l}"
+_LEVELS = ", ".join(_AT.format(k=2**k, l=k) for k in range(DEPTH + 1))
+_HELD = ", ".join(f"count(*) OVER (PARTITION BY gx{k}, gy{k}) AS n{k}" for k in range(DEPTH + 1))
+_LEVEL = " ".join(f"WHEN n{k} <= 60 THEN concat({k}, ':', gx{k}, ':', gy{k})" for k in range(DEPTH))
+_OWN = f"CASE {_LEVEL} ELSE concat({DEPTH}, ':', gx{DEPTH}, ':', gy{DEPTH}) END AS cell"
+
+
+@query(f"WITH {ORD} SELECT id, {_OWN} FROM (SELECT *, {_HELD} FROM (SELECT id, {_LEVELS} FROM ord))")
+def refined_cells(spark, sf):
+    return layout.refine(orders(spark, sf).df, GRID, 60, DEPTH).select("id", "cell")
+
+
+@query(f"WITH {ORD} SELECT id, {_OWN} FROM (SELECT *, {_HELD} FROM (SELECT id, {_LEVELS} FROM ord WHERE NOT ({IN_ORD})))")
+def condensed_cells(spark, sf):
+    left = orders(spark, sf).df.where(~ORD_BOX.contains("x", "y"))
+    return layout.refine(left, GRID, 60, DEPTH).select("id", "cell")
 
 
 @query(
     f"""WITH {ORD}, c AS (SELECT geo, avg(x) AS cx, avg(y) AS cy FROM ord GROUP BY geo)
     SELECT id, ord.geo, round(cx, 6) AS cx, round(cy, 6) AS cy FROM ord LEFT JOIN c ON c.geo = ord.geo"""
 )
-def centroids_onto_points_all(spark, sf):
-    return _centroids_onto(orders(spark, sf).df, "true")
-
-
-def _centroids_onto(orders: DataFrame, which: str) -> DataFrame:
-    points = orders.select("id", "geo", "x", "y")
-    centres = points.where(which).groupBy("geo").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+def centroids_onto_points(spark, sf):
+    points = orders(spark, sf).df.select("id", "geo", "x", "y")
+    centres = points.groupBy("geo").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     return points.join(F.broadcast(centres), "geo", "left").select("id", "geo", r6("cx", "cx"), r6("cy", "cy"))  # 65 rows at most
 
 

@@ -228,7 +228,57 @@ def test_split_axis(spark):
     tall = spark.createDataFrame([(i, y, x) for i, x, y in rows], "id long, x double, y double")
     one, two = layout.best_split(flat, 3).first(), layout.best_split(tall, 3).first()
     assert (one.axis, two.axis) == (0, 1) and one.shared == two.shared == 0.0
-    assert layout.splits(flat, 3).count() == 2 * 4
+    assert layout.splits(flat.withColumn("cell", F.lit("c")), 3).count() == 2 * 4
+    assert layout.best_split(flat, 5).isEmpty() and layout.best_split(flat.limit(0), 1).isEmpty()
+
+
+def brute_split(cell, least):
+    box = lambda ps: (min(p[1] for p in ps), min(p[2] for p in ps), max(p[1] for p in ps), max(p[2] for p in ps))
+    cuts = {}
+    for axis in (0, 1):
+        order = sorted(cell, key=lambda p: (p[1 + axis], p[1], p[2], p[0]))
+        for k in range(least, len(cell) - least + 1):
+            a, b = box(order[:k]), box(order[k:])
+            margin = sum(2 * (r[2] - r[0] + r[3] - r[1]) for r in (a, b))
+            shared = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+            cuts.setdefault(axis, []).append((shared, sum((r[2] - r[0]) * (r[3] - r[1]) for r in (a, b)), k, margin))
+    axis = min(cuts, key=lambda a: (sum(c[3] for c in cuts[a]), a))
+    return axis, min(cuts[axis])[2]
+
+
+def test_best_split_of_every_full_cell(spark):
+    rows = [(i, float(i * 37 % 101), float(i * i % 53)) for i in range(300)]
+    grid = layout.Grid(0.0, 0.0, 40.0, 30.0)
+    cells = {}
+    for p in rows:
+        cells.setdefault(f"{int(p[1] // 40)}:{int(p[2] // 30)}", []).append(p)
+    got = {r.cell: (r.axis, r.first) for r in layout.best_splits(grid.assign(spark.createDataFrame(rows, "id long, x double, y double")), 40, 10).collect()}
+    assert got == {c: brute_split(ps, 10) for c, ps in cells.items() if len(ps) > 40} and 1 < len(got) < len(cells)
+
+
+def test_refine_bounds_cells_and_merges_after_deletion(spark):
+    # a third at one place, others spread, left of the origin too; nulls have no cell
+    rows = [(i, 3.0, 3.0) if i % 3 == 0 else (i, float(i % 40) - 8.0, float(i * 7 % 33) - 8.0) for i in range(600)] + [(900, None, 1.0), (901, 1.0, None)]
+    grid, depth, most = layout.Grid(0.0, 0.0, 16.0, 16.0), 3, 20
+
+    def brute(ps):
+        out = {}
+        at = lambda p, k: (int(p[1] // (16 / 2**k)), int(p[2] // (16 / 2**k)))
+        for p in ps:
+            if p[1] is None or p[2] is None:
+                out[p[0]] = None
+                continue
+            k = next((k for k in range(depth) if sum(q[1] is not None and q[2] is not None and at(q, k) == at(p, k) for q in ps) <= most), depth)
+            out[p[0]] = ":".join(map(str, (k, *at(p, k))))
+        return out
+
+    schema = "id long, x double, y double"
+    got = {r.id: r.cell for r in layout.refine(spark.createDataFrame(rows, schema), grid, most, depth).collect()}
+    assert got == brute(rows) and len({c[0] for c in got.values() if c}) > 1
+    left = [p for p in rows if p[0] % 10 == 1]
+    after = {r.id: r.cell for r in layout.refine(spark.createDataFrame(left, schema), grid, most, depth).collect()}
+    assert after == brute(left) and any(after[i] != got[i] for i in after)
+    assert layout.refine(spark.createDataFrame([], schema), grid, most, depth).isEmpty()
 
 
 def embedded(spark, folder, n):
@@ -262,14 +312,14 @@ def test_whole_table_queries_equal_brute_force(spark):
     for a, b in ((a, b) for a in boxes for b in boxes if a < b):
         w, h = (min(boxes[a][k + 2], boxes[b][k + 2]) - max(boxes[a][k], boxes[b][k]) for k in (0, 1))
         want[a, b] = round(max(0, w) * max(0, h), 4), w >= 0 and h >= 0
-    got = {(r.a, r.b): (r.shared, r.touching) for r in q["box_overlap_pairs_all"](spark, sf).collect()}
+    got = {(r.a, r.b): (r.shared, r.touching) for r in q["box_overlap_pairs"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=1e-3), want[k][1]) for k in want)
     keys = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
     places = [(k, k * 7919 % 500000, k * 104729 % 2400) for k in keys]
     want = {(r.id, k) for r in rows for k, x, y in places if x <= r.x <= x + 5000 and y <= r.y <= y + 50}
-    got = [tuple(r) for r in q["points_in_boxes_all"](spark, sf).collect()]
+    got = [tuple(r) for r in q["points_in_boxes"](spark, sf).collect()]
     assert len(got) == len(want) and set(got) == want and any(k % 3 for _, k in want)
-    got = q["centroids_onto_points_all"](spark, sf).collect()
+    got = q["centroids_onto_points"](spark, sf).collect()
     assert len(got) == len(rows) and any(r.geo >= 50 for r in got)
     for r in got:
         mine = [p for p in rows if p.geo == r.geo]
