@@ -56,6 +56,8 @@ COMMON, MOST_COMMON = 12, 300_000
 HOT = 20_000
 #: Bits of a folded sketch per shingle, about; members of a group that are compared at once.
 FOLD, BLOCK = 4, 512
+#: Pairs of one class that a task joins with its sketch or text; what has more goes to several.
+DEALT = 512
 #: Rows up to which a list of ids is broadcast (8 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -365,14 +367,30 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def with_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (a, b) with the other columns of values (id, ...) for both, named ..._a and ..._b.
+
+    Comes in order of a. A class that is the `a` of many pairs, as the least of a large group is,
+    has its pairs dealt to tasks by b, and its row of values repeated for each of those.
+    """
+    names = [c for c in values.columns if c != "id"]
+    left, right = (values.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab")
+    heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("parts > 1")
+    heavy = _few(heavy)
+    last = F.coalesce("parts", F.lit(1)) - 1
+    left = left.join(heavy, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
+    pairs = pairs.join(heavy, "a", "left").withColumn("part", part).drop("parts")
+    return pairs.join(right, "b").join(left, ["a", "part"]).drop("part")
+
+
 def verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) of classes whose whole sets are similar enough, as edges (u, v).
     classes: (c, rep), the document whose text stands for the class."""
     needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     needed = needed.join(classes, "c").select("c", F.col("rep").alias("doc_id"))
-    texts = rows.join(_few(needed), "doc_id").select("c", "__text")
-    left, right = (texts.toDF(side, f"text_{side}") for side in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    texts = rows.join(_few(needed), "doc_id").select(F.col("c").alias("id"), F.col("__text").alias("text"))
+    both = with_sides(pairs, texts).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_linked, "u long, v long")
 
 
@@ -443,8 +461,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> Dat
         .groupBy(F.col("c").alias("id"))
         .agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     )
-    left, right = (sketches.toDF(side, f"n_{side}", f"sketch_{side}") for side in "ab")
-    stars = groups.toDF("a", "b").join(left, "a").join(right, "b").mapInArrow(_near, "a long, b long")
+    stars = with_sides(groups.toDF("a", "b"), sketches).mapInArrow(_near, "a long, b long")
     links = keep(verified(named_rows, classes, keep(stars, "stars")), "links")
     # the texts of one id link their classes
     same = named.join(repeated.where("low < high"), "doc_id").where("c <> low").select(F.col("c").alias("u"), F.col("low").alias("v"))

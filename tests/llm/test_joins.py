@@ -83,7 +83,10 @@ def test_ids_with_several_texts(spark):
     assert got == brute_groups(rows) and got[7][1] == got[9][1] == got[3][1]
 
 
-def test_near_duplicates_of_a_large_group_and_odd_rows(spark):
+@pytest.mark.parametrize("dealt", [parity_join.DEALT, 7])
+def test_near_duplicates_of_a_large_group_and_odd_rows(spark, monkeypatch, dealt):
+    """dealt: 7 makes the group's pairs go to many tasks."""
+    monkeypatch.setattr(parity_join, "DEALT", dealt)
     prepare(spark)
     r = random.Random(5)
     base = [f"w{i}" for i in range(200)]
@@ -102,6 +105,18 @@ def test_near_duplicates_of_a_large_group_and_odd_rows(spark):
     assert parity_join.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_pairs_of_one_class_are_dealt(spark, monkeypatch):
+    """Each pair once, whatever its class's number of pairs; no (a, part) has many more than DEALT."""
+    monkeypatch.setattr(parity_join, "DEALT", 10)
+    pairs = [(1, i) for i in range(2, 202)] + [(2, 3), (5, 7), (5, 8)]
+    values = spark.createDataFrame([(i, f"t{i}") for i in range(1, 202)] + [(7, "again")], "id long, text string")
+    out = parity_join.with_sides(spark.createDataFrame(pairs, "a long, b long"), values)
+    got = sorted((r.a, r.b, r.text_a, r.text_b) for r in out.collect())
+    twice = [(1, 7, "t1", "again"), (5, 7, "t5", "again")]
+    assert got == sorted([(a, b, f"t{a}", f"t{b}") for a, b in pairs] + twice)
+    assert parity_join.with_sides(spark.createDataFrame([], "a long, b long"), values).count() == 0
+
+
 def test_sketch_pieces_bound_the_difference():
     """The first D + 1 pieces of linked sets meet, whatever the order of rarity."""
     rng = np.random.default_rng(4)
