@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,6 +101,34 @@ def last_wins(rows: DataFrame, order: str, key: str = "id") -> DataFrame:
     return best.select(key, "best.*").select(*rows.columns)
 
 
+@dataclass(frozen=True)
+class PointStore:
+    """Whole points by id, one row each; ids are not null. A change gives a new store."""
+
+    df: DataFrame
+    key: str = "id"
+
+    def upsert(self, rows: DataFrame, order: str) -> PointStore:
+        """rows replace the points of their ids or are added; of several rows of an id that of
+        the greatest `order` counts."""
+        new = last_wins(rows, order, self.key)
+        kept = self.df.join(new.select(self.key), self.key, "left_anti")
+        return PointStore(kept.unionByName(new.select(*self.df.columns)), self.key)
+
+    def get(self, id) -> DataFrame:
+        """One row, or none."""
+        return self.df.where(F.col(self.key) == F.lit(id))
+
+    def exists(self, id) -> bool:
+        return not self.get(id).isEmpty()
+
+    def clear(self) -> PointStore:
+        return PointStore(self.df.where(F.lit(False)), self.key)
+
+    def count(self) -> int:
+        return self.df.count()
+
+
 def lookup(entries: DataFrame, payload: DataFrame) -> DataFrame:
     """Entries with their payload by id; those without one are left out."""
     return entries.join(payload, "id")

@@ -270,6 +270,21 @@ def last_wins(spark, sf):
     return spatial.last_wins(rows, "event_id", "user_id")
 
 
+@query(
+    f"""WITH {ORD}, line AS (SELECT l_orderkey AS id, l_extendedprice AS x, l_discount AS y,
+          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_extendedprice DESC, l_discount DESC) AS place
+        FROM lineitem),
+      new AS (SELECT id, x, y FROM line WHERE place = 1)
+    SELECT id, x, y FROM ord WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, x, y FROM new"""
+)
+def store_upsert(spark, sf):
+    store = spatial.PointStore(orders(spark, sf).df.select("id", "x", "y"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), F.col("l_extendedprice").alias("x"), F.col("l_discount").alias("y")
+    )
+    return store.upsert(rows, "at").df
+
+
 REGIONS = """reg AS (SELECT box, x0, y0, x0 + 5000 AS x1, y0 + 50 AS y1 FROM (SELECT c_custkey AS box,
   ((c_custkey * 7919) % 500000)::DOUBLE AS x0, ((c_custkey * 104729) % 2400)::DOUBLE AS y0 FROM customer))"""
 
@@ -598,6 +613,17 @@ def binary_roundtrip(spark, sf):
     return again.select(F.col("id").cast("long").alias("id"), "x", "y", "geo", "attr", r9(f[0], "f0"), r9(f[1], "f1"))
 
 
+@query(f"WITH {ORD} SELECT id, x, y, round(f0, 9) AS f0, round(f1, 9) AS f1 FROM ord")
+def binary_plain_roundtrip(spark, sf):
+    binary.register(spark)
+    path = files.scratch(spark, "plain")
+    rows = orders(spark, sf).df.select(F.col("id").cast("int").alias("id"), "x", "y", F.array("f0", "f1").alias("features"))
+    rows.write.format("pointfile").option("layout", binary.PLAIN).mode("append").save(path)
+    again = spark.read.format("pointfile").option("layout", binary.PLAIN).load(path)
+    f = F.col("features")
+    return again.select(F.col("id").cast("long").alias("id"), "x", "y", r9(f[0], "f0"), r9(f[1], "f1"))
+
+
 _CSVS: dict[tuple[str, str], str] = {}
 
 

@@ -3,12 +3,14 @@
 format("pointfile") with option layout:
 
 classic   i32 count, then i32 id, f64 x, f64 y, i32 geo, i32 attr, i32 n, f64[12] per point
+plain     i32 count, then i32 id, f64 x, f64 y, i32 n, f64[12] per point, without labels
 compact   i32 count, then i32 id, f64 x, f64 y, i32 label, i32 n, f64[n] per point, one n a file
 loose     no count; i32 id, f64 x, f64 y, i32 n, f64[n], i32 geo, i32 attr per point
 
-Records of the first two have one size, so a file is split by offset; the last is read from its
+Records of the first three have one size, so a file is split by offset; the last is read from its
 start. A directory is read file by file. Writers put a whole file per task; coalesce(1) gives
-one. Rows come as (id, x, y, geo, attr, features) or (id, x, y, label, features).
+one. Rows come as (id, x, y, geo, attr, features), (id, x, y, features) if plain, or
+(id, x, y, label, features) if compact.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql.types import StructType
 from geoquilt.sources.files import read_points_csv
 
 # Fixed values of the formats.
-CLASSIC, COMPACT, LOOSE = "classic", "compact", "loose"
+CLASSIC, PLAIN, COMPACT, LOOSE = "classic", "plain", "compact", "loose"
+#: Label columns of each layout.
+LABELS = {CLASSIC: ["geo", "attr"], PLAIN: [], COMPACT: ["label"], LOOSE: ["geo", "attr"]}
 SLOTS = 12
 #: Records of one task and of one Arrow batch.
 TASK_RECORDS, BATCH_RECORDS = 1 << 20, 1 << 16
@@ -37,14 +41,16 @@ _PLACE = [("id", "<i4"), ("x", "<f8"), ("y", "<f8")]
 def record(layout: str, n: int) -> np.dtype:
     if layout == CLASSIC:
         return np.dtype([*_PLACE, ("geo", "<i4"), ("attr", "<i4"), ("n", "<i4"), ("features", "<f8", (SLOTS,))])
+    if layout == PLAIN:
+        return np.dtype([*_PLACE, ("n", "<i4"), ("features", "<f8", (SLOTS,))])
     if layout == COMPACT:
         return np.dtype([*_PLACE, ("label", "<i4"), ("n", "<i4"), ("features", "<f8", (n,))])
     return np.dtype([*_PLACE, ("n", "<i4"), ("features", "<f8", (n,)), ("geo", "<i4"), ("attr", "<i4")])
 
 
 def schema_of(layout: str) -> str:
-    labels = "label int" if layout == COMPACT else "geo int, attr int"
-    return f"id int, x double, y double, {labels}, features array<double>"
+    labels = "".join(f"{c} int, " for c in LABELS[layout])
+    return f"id int, x double, y double, {labels}features array<double>"
 
 
 def _filesystem(path: str):
@@ -72,7 +78,7 @@ class Part(InputPartition):
 class PointReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.path, self.layout = options["path"], options.get("layout", CLASSIC)
-        if self.layout not in (CLASSIC, COMPACT, LOOSE):
+        if self.layout not in LABELS:
             raise ValueError(f"no such layout: {self.layout}")
         self.limit = int(options["limit"]) if "limit" in options else None
 
@@ -121,8 +127,7 @@ class PointReader(DataSourceReader):
             sizes = np.minimum(rows["n"], rows["features"].shape[1]).astype(np.int64)
             used = rows["features"][np.arange(rows["features"].shape[1])[None] < sizes[:, None]]
             features = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(used))
-        labels = ["label"] if self.layout == COMPACT else ["geo", "attr"]
-        names = ["id", "x", "y", *labels]
+        names = ["id", "x", "y", *LABELS[self.layout]]
         return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[c])) for c in names], features], names=[*names, "features"])
 
     def _loose(self, f) -> Iterator[pa.RecordBatch]:
@@ -197,7 +202,7 @@ class PointWriter(DataSourceArrowWriter):
             for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 out.append(self._records(batch, sizes, matrix[:, : sizes[low]], int(low), int(high)))
             return b"".join(out)
-        if self.layout == CLASSIC:
+        if self.layout in (CLASSIC, PLAIN):
             sizes = np.minimum(sizes, SLOTS)
             full = np.zeros((len(sizes), SLOTS))
             full[:, : min(SLOTS, matrix.shape[1])] = matrix[:, :SLOTS]
@@ -206,8 +211,7 @@ class PointWriter(DataSourceArrowWriter):
 
     def _records(self, batch: pa.RecordBatch, sizes: np.ndarray, matrix: np.ndarray, low: int, high: int) -> bytes:
         rows = np.zeros(high - low, record(self.layout, matrix.shape[1]))
-        labels = ["label"] if self.layout == COMPACT else ["geo", "attr"]
-        for c in ("id", "x", "y", *labels):
+        for c in ("id", "x", "y", *LABELS[self.layout]):
             rows[c] = batch.column(c).slice(low, high - low).to_numpy(zero_copy_only=False)
         rows["n"] = sizes[low:high]
         rows["features"] = matrix[low:high]
@@ -255,6 +259,6 @@ def convert_csv(spark: SparkSession, source: str, path: str, features: int, layo
     each task; rows are neither collected nor shuffled. The compact layout takes `geo` as label."""
     register(spark)
     points = read_points_csv(spark, source, features, most_features=SLOTS)
-    labels = [F.col("geo").alias("label")] if layout == COMPACT else ["geo", "attr"]
+    labels = [F.col("geo").alias("label")] if layout == COMPACT else LABELS[layout]
     rows = points.df.select("id", "x", "y", *labels, F.array(*points.features).alias("features"))
     rows.write.format("pointfile").option("layout", layout).mode("append").save(path)

@@ -103,6 +103,16 @@ def test_ids(spark):
         PointSet(rows).check_unique()
 
 
+def test_point_store(spark):
+    store = spatial.PointStore(spark.createDataFrame([(0, 1.0, 2.0), (7, 3.0, 4.0)], "id long, x double, y double"))
+    rows = spark.createDataFrame([(7, 5.0, 6.0, 1), (7, 8.0, 9.0, 2), (9, 0.0, 0.0, 1)], "id long, x double, y double, seq int")
+    after = store.upsert(rows, "seq")
+    assert after.count() == 3 and store.count() == 2
+    assert [tuple(r) for r in after.get(7).collect()] == [(7, 8.0, 9.0)]
+    assert after.exists(0) and after.exists(9) and not store.exists(9) and not after.exists(8)
+    assert after.clear().count() == 0 and after.clear().upsert(rows, "seq").count() == 2
+
+
 def test_groups_and_refresh(spark):
     rows = [(i, 0.01 * i, 0.0, i % 3, float(i % 3), 0.0) for i in range(60)]
     ps = points(spark, rows, 2)
