@@ -7,7 +7,9 @@ with the rule's path; the longest that fits decides. What no rule fits, the mode
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case. Path: then up to
 `?`, `#` or the end. Null urls and urls without `://` have both empty; the model judges them
-from no n-grams, which is the intercept. Every row gives one row.
+from no n-grams, which is the intercept. Every row gives one row, repeated ones too, and an empty
+table an empty one; only the url and the columns to carry are read, whatever others are named. Of
+equally long rules that fit, the greater as text decides. Urls are judged whole, however long.
 """
 
 from __future__ import annotations
